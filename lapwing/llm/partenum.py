@@ -196,7 +196,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, similarity: tuple[int, int]
     known = digest.where("doc_id is not null and n > 0")
     classes = save(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     copies = save(known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "h1", "h2", "rep"), "copies")
-    single = known.join(copies, ["doc_id", "n", "h1", "h2"], "left_anti")
+    # Copies grow with the corpus, so this join is a shuffle at every size.
+    single = known.join(copies.hint("merge"), ["doc_id", "n", "h1", "h2"], "left_anti")
 
     first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
     shared = save(single.select("doc_id", F.explode("sigs").alias("sig")).withColumn("first", first).where("first <> doc_id"), "shared")
