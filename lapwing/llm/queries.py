@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lapwing.llm import decontam, langid, mixing, packing, partenum
+from lapwing.llm import chat, decontam, langid, licenses, mixing, neighbours, packing, partenum, quality, secrets
 
-_MODULES = (packing, decontam, mixing, langid, partenum)
+_MODULES = (secrets, quality, packing, neighbours, decontam, mixing, langid, licenses, chat, partenum)
 
 
 def queries() -> dict[str, Callable]:
