@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,11 @@ from lapwing.llm.storage import new_path
 from lapwing.llm.words import slices
 
 #: Ids of a block; ids after which a segment is closed; words that a task remembers; characters encoded at once.
-BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 400_000, 1 << 20
+BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 700_000, 1 << 20
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: ASCII marks, without the apostrophe, which may belong to what follows it.
+_MARKS = string.punctuation.replace("'", "")
 _SCHEMA = "shard int, segment int, first long, bits int, n_ids long, block_offsets array<long>, payload binary, doc_ids array<long>, doc_offsets array<long>"
 
 
@@ -84,22 +88,55 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.ending = np.zeros(self.size, bool)
+        self.ending[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.count, self.ids, self.begins = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found])
-        begins = self.begins[-1] + np.cumsum(lengths)
-        if begins[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(begins[-1]) - len(self.ids)), np.uint32)])
-        self.ids[self.begins[-1] : begins[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        """Adds words. Marks after a letter or digit are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
+        pieces = []
         for w in new:
-            self.known[w] = len(self.known)
-        self.begins = np.concatenate([self.begins, begins])
+            stem = w.rstrip(_MARKS)
+            if stem == w or not stem or not stem[-1].isalnum():
+                stem = w
+            pieces.append((stem.lower() if stem.isascii() and stem[:2] != "<|" else stem, w[len(stem) :]))
+        if unknown := [x for x in dict.fromkeys(x for p in pieces for x in p) if x not in self.known]:
+            self._encode_new([x for x in unknown if x.isalpha()])
+            if rest := [x for x in unknown if x not in self.known]:
+                self._add(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        both, ids = [], []
+        for w, (stem, marks) in zip(new, pieces, strict=True):
+            if not marks:
+                self.known[w] = self.known[stem]
+            else:
+                both.append(w)
+                ids.append([i for x in (stem, marks) for i in self.ids[self.begins[self.known[x]] : self.begins[self.known[x] + 1]].tolist()])
+        self._add(both, ids)
+
+    def _encode_new(self, letters: list[str]) -> None:
+        """Words of letters are encoded as one text and cut at the ids that end a word, if these are as many as the words."""
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) == len(letters) and len(ids) and ends[-1] == len(ids):
+            ids = ids.tolist()
+            self._add(letters, [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
+        if not words:
+            return
+        ends = self.begins[self.count] + np.cumsum([len(x) for x in found])
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(words) >= len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        self.ids[self.begins[self.count] : ends[-1]] = list(chain.from_iterable(found))
+        self.begins[self.count + 1 : self.count + 1 + len(words)] = ends
+        self.known.update(zip(words, range(self.count, self.count + len(words)), strict=True))
+        self.count += len(words)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the text; one of many words is encoded piece by piece, cut at white space."""
@@ -108,10 +145,10 @@ class WordEncoder:
             to = at + AT_ONCE
             cut = _SPACE.search(text, to) if to < len(text) else None
             to = cut.end() if cut else len(text)
-            words = text[at:to].split(" ")
-            if _SPACE.search(text, at, to):
-                words = _SPACE.split(text[at:to])
-            out.append(self._encode(words))
+            piece = text[at:to]
+            for other in "\t\n\r\f\v":
+                piece = piece.replace(other, " ")
+            out.append(self._encode(piece.split(" ")))
             at = to
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
