@@ -114,24 +114,39 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((elements & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
-def _digest(batches: Iterator[pa.RecordBatch], n: int, p: int, q: int, n2: int, k2: int) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     keep = not_space()
     for rows in slices(batches, "text"):
         sets = shingle_sets(*utf8(rows.column("text")), keep, n)
-        sigs = [signatures(s, p, q, n2, k2) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
+                *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in zip(*map(_class, sets), strict=True)),
                 pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64), np.concatenate([parity(s) for s in sets])),
-                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32), np.concatenate(sigs).view(np.int64)),
             ],
-            names=["doc_id", "n", "h1", "h2", "map", "sigs"],
+            names=["doc_id", "n", "h1", "h2", "map"],
         )
 
 
+def _class(elements: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Equal for equal sets."""
+    return elements.sum(dtype=np.uint64), mix(elements).sum(dtype=np.uint64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], n: int, p: int, q: int, n2: int, k2: int) -> Iterator[pa.RecordBatch]:
+    """A row for each signature of the first document of each class that the task meets, so a class of any size has as many rows as tasks at most."""
+    keep, met = not_space(), set()
+    for rows in slices(batches, "text"):
+        for doc_id, s in zip(rows.column("doc_id").to_pylist(), shingle_sets(*utf8(rows.column("text")), keep, n), strict=True):
+            own = _class(s)
+            if not len(s) or doc_id is None or own in met:
+                continue
+            met.add(own)
+            sigs = signatures(s, p, q, n2, k2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), doc_id, np.int64))], names=["sig", "doc_id"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     keep = not_space()
     for rows in slices(batches, "text"):
@@ -150,18 +165,46 @@ def _verified(batches: Iterator[pd.DataFrame], p: int, q: int) -> Iterator[pd.Da
         yield rows.loc[good, ["a", "b"]]
 
 
-def _apart(group: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
-    """Pairs of classes of one signature, or of two blocks of them, that may be similar and are not yet connected."""
-    one, two = group[group["side"] == 0], group[group["side"] == 1]
-    if group["i"].iat[0] == group["j"].iat[0]:
-        one = two = group
-    (ids, sizes, components, maps), (others, b, theirs, more) = ([x[c].to_numpy() for c in ("doc_id", "n", "component")] + [np.array(x["map"].tolist(), np.int64).reshape(len(x), -1)] for x in (one, two))
-    found = [np.zeros((2, 0), np.int64)]
-    for i, a in enumerate(sizes):
-        differ = np.bitwise_count(maps[i] ^ more).sum(axis=1, dtype=np.int64)
-        near = (differ * (q + p) <= (a + b) * (q - p)) & (np.minimum(a, b) * q >= np.maximum(a, b) * p) & (theirs != components[i])
-        found.append(np.stack([np.minimum(ids[i], others[near]), np.maximum(ids[i], others[near])]))
-    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
+def _near(ids, sizes, components, maps, sides, p: int, q: int) -> np.ndarray:
+    """Pairs of rows of one group, or of its two sides, that may be similar and are not yet connected."""
+    two = np.flatnonzero(sides == 1)
+    one = np.flatnonzero(sides == 0) if len(two) else np.arange(len(ids))
+    two = two if len(two) else one
+    found, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 14) // len(two))
+    for k in range(0, len(one), step):
+        i = one[k : k + step]
+        a, b = sizes[i][:, None], sizes[two]
+        good = (components[i][:, None] != components[two]) & (np.minimum(a, b) * q >= np.maximum(a, b) * p)
+        x, y = np.nonzero(good)
+        x, y = i[x], two[y]
+        differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+        near = differ * (q + p) <= (sizes[x] + sizes[y]) * (q - p)
+        x, y = ids[x[near]], ids[y[near]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+    return np.concatenate(found, axis=1)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """``_near`` of each group of (sig, i, j), whose rows follow each other. A group has two blocks at most."""
+    held: list[np.ndarray] | None = None
+
+    def pairs(columns: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        sides, ids, components, sizes, maps = columns[3:]
+        found = [_near(ids[a:b], sizes[a:b], components[a:b], maps[a:b], sides[a:b], p, q) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        found = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "side", "doc_id", "component", "n")]
+        columns.append(batch.column("map").flatten().to_numpy().reshape(-1, BITS // 64))
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
+        bounds = np.concatenate([[0], new])
+        yield pairs(columns, bounds)
+        held = [c[bounds[-1] :] for c in columns]
+    if held is not None and len(held[0]):
+        yield pairs(held, np.array([0, len(held[0])]))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -192,16 +235,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, similarity: tuple[int, int]
     """
     p, q = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = save(docs.mapInArrow(partial(_digest, n=n, p=p, q=q, n2=parts[0], k2=parts[1]), "doc_id long, n long, h1 long, h2 long, map array<long>, sigs array<long>"), "digest")
+    digest = save(docs.mapInArrow(partial(_digest, n=n), "doc_id long, n long, h1 long, h2 long, map array<long>"), "digest")
     known = digest.where("doc_id is not null and n > 0")
     classes = save(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = save(known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "h1", "h2", "rep"), "copies")
-    # Copies grow with the corpus, so this join is a shuffle at every size.
-    single = known.join(copies.hint("merge"), ["doc_id", "n", "h1", "h2"], "left_anti")
+    copies = save(known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
 
     first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
-    shared = save(single.select("doc_id", F.explode("sigs").alias("sig")).withColumn("first", first).where("first <> doc_id"), "shared")
-    maps = single.select("doc_id", "n", "map")
+    signed = docs.mapInArrow(partial(_signed, n=n, p=p, q=q, n2=parts[0], k2=parts[1]), "sig long, doc_id long")
+    # Copies of one class in several tasks stand for it together: they are known to be equal.
+    # A doc_id of several rows stands for itself, as its other texts are in no such class.
+    alone = copies.join(known.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti")
+    shared = signed.withColumn("first", first).where("first <> doc_id")
+    for column in ("doc_id", "first"):
+        shared = shared.join(alone.select(F.col("doc_id").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
+    shared = save(shared.where("first <> doc_id").select("sig", "first", "doc_id").distinct(), "shared")
+    maps = known.select("doc_id", "n", "map")
     one, two = (maps.select(*[F.col(c).alias(c + s) for c in maps.columns]) for s in "ab")
     pairs = shared.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = pairs.join(one, pairs.a == one.doc_ida).join(two, pairs.b == two.doc_idb)
@@ -221,11 +269,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, similarity: tuple[int, int]
     own = F.pmod(F.xxhash64("doc_id"), count).cast("int")
     members = members.withColumn("count", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     blocks = members.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component", "n", "map")
-
-    def apart(group: pd.DataFrame) -> pd.DataFrame:
-        return _apart(group, p, q)
-
-    more = blocks.groupBy("sig", "i", "j").applyInPandas(apart, "a long, b long").distinct()
+    blocks = blocks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = blocks.mapInArrow(partial(_apart, p=p, q=q), "a long, b long").distinct()
     links = links.union(_verify(more, docs, n, p, q))
     edges = links.union(copies.select("doc_id", "rep"))
     component = save(connected(edges), "component")
