@@ -67,6 +67,8 @@ class ByteNetwork:
         return scores / scores.sum(axis=1, keepdims=True)
 
     def predict(self, windows: np.ndarray) -> np.ndarray:
+        if not self.classes:
+            return np.zeros((len(windows), 0), np.float32)
         out = []
         for i in range(0, len(windows), AT_ONCE):
             x = self.p["bytes"][windows[i : i + AT_ONCE]]

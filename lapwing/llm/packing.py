@@ -88,6 +88,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ending = np.zeros(self.size, bool)
         self.ending[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self._forget()
@@ -101,9 +102,10 @@ class WordEncoder:
         pieces = []
         for w in new:
             stem = w.rstrip(_MARKS)
-            if stem == w or not stem or not stem[-1].isalnum():
+            whole = any(x in w for x in self.special)  # the tokenizer finds these before anything else
+            if whole or not stem or not stem[-1].isalnum():
                 stem = w
-            pieces.append((stem.lower() if stem.isascii() and stem[:2] != "<|" else stem, w[len(stem) :]))
+            pieces.append((stem.lower() if stem.isascii() and not whole else stem, w[len(stem) :]))
         if unknown := [x for x in dict.fromkeys(x for p in pieces for x in p) if x not in self.known]:
             self._encode_new([x for x in unknown if x.isalpha()])
             if rest := [x for x in unknown if x not in self.known]:
