@@ -37,7 +37,7 @@ def place_errors(rows: DataFrame, predicted: str, least: int = 3) -> DataFrame:
     """Mean gap of places and Spearman's correlation in each race of ``least`` answered runners."""
     own = rows.where(F.col(predicted).isNotNull()).select("race_id", "entry_id", predicted, "seconds")
     own = own.withColumns({"p": tie_rank(predicted, "race_id"), "a": tie_rank("seconds", "race_id")})
-    out = own.groupBy("race_id").agg(F.count("*").alias("runners"), F.avg(F.abs(F.col("p") - F.col("a"))).alias("gap"), F.corr("p", "a").alias("rho"))
+    out = own.groupBy("race_id").agg(F.count("*").alias("runners"), F.avg(F.abs(F.col("p") - F.col("a"))).alias("gap"), F.try_divide(F.covar_pop("p", "a"), F.stddev_pop("p") * F.stddev_pop("a")).alias("rho"))
     return out.where(F.col("runners") >= least).select("race_id", "runners", F.round("gap", 6).alias("place_gap"), F.round("rho", 6).alias("spearman"))
 
 

@@ -166,7 +166,7 @@ def name_key(spark, sf_dir):
 
 @query(_LATEST + """, r AS (SELECT race_id, entry_id, rank() OVER (PARTITION BY race_id ORDER BY seconds) + (count(*) OVER (PARTITION BY race_id, seconds) - 1) / 2 AS a,
     rank() OVER (PARTITION BY race_id ORDER BY carry) + (count(*) OVER (PARTITION BY race_id, carry) - 1) / 2 AS p FROM scored WHERE carry IS NOT NULL)
-SELECT race_id, count(*) AS runners, round(avg(abs(p - a)), 6) AS place_gap, round(corr(p, a), 6) AS spearman FROM r GROUP BY race_id HAVING count(*) >= 3""")
+SELECT race_id, count(*) AS runners, round(avg(abs(p - a)), 6) AS place_gap, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(a) > 0 THEN round(corr(p, a), 6) END AS spearman FROM r GROUP BY race_id HAVING count(*) >= 3""")
 def place_error_spearman(spark, sf_dir):
     return scoring.place_errors(_scored(spark, sf_dir), "carry")
 
