@@ -4,32 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions import running
 from lapwing.operators import asof, features, field, identity, publish, scoring
-from lapwing.sources.results import RESULTS_SQL, results, table
+from lapwing.plans import reading  # noqa: F401  registers its queries
+from lapwing.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from lapwing.sources.results import results, table
 from lapwing.streaming import events as streaming
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, with_results: bool = True):
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = ("WITH " + RESULTS_SQL + "," if with_results else "WITH ") + sql.strip().removeprefix("WITH ")
-        return f
-
-    return add
-
-
 _EXPONENT = "(CASE WHEN {0} < 2000 THEN 1.08 WHEN {0} < 3000 THEN 1.075 WHEN {0} < 4828.032 THEN 1.07 ELSE 1.06 END)::DOUBLE"
 _LATEST = f"""
 latest AS (
