@@ -85,18 +85,21 @@ def meta_features(source: list, lang: list, column: pa.Array) -> np.ndarray:
 
 
 class Logistic:
-    """Logistic regression by Adam over all rows, its inputs scaled by their spread."""
+    """Logistic regression by Adam over all rows, its inputs scaled by their spread; in single precision, as the inputs are."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 0.02
-        x = (x - self.mean) / self.spread
-        self.w, self.b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+        one = np.float32
+        self.mean, self.spread = x.mean(axis=0, dtype=float).astype(one), x.std(axis=0) + one(0.02)
+        x = x - self.mean
+        x /= self.spread
+        y, weight = y.astype(one), (weight / weight.sum()).astype(one)
+        at, m, v = (np.zeros(x.shape[1] + 1, one) for _ in range(3))
         for step in range(1, STEPS + 1):
-            d = (1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30))) - y) * weight / weight.sum()
-            g = np.append(x.T @ d + 0.002 * self.w, d.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            move = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            self.w, self.b = self.w - move[:-1], self.b - move[-1]
+            d = (1 / (1 + np.exp(-np.clip(x @ at[:-1] + at[-1], -30, 30))) - y) * weight
+            g = np.append(x.T @ d + one(0.002) * at[:-1], d.sum())
+            m, v = one(0.9) * m + one(0.1) * g, one(0.99) * v + one(0.01) * g * g
+            at = at - one(0.03) * (m / one(1 - 0.9**step)) / (np.sqrt(v / one(1 - 0.99**step)) + one(1e-8))
+        self.w, self.b = at[:-1], at[-1]
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.mean) / self.spread) @ self.w + self.b, -30, 30)
@@ -160,19 +163,45 @@ def _score(batches: Iterator[pa.RecordBatch], model: CoTrained | None) -> Iterat
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], names=["doc_id", "text_score", "meta_score", "score"])
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places and values of the text's features that are not 0, and the metadata's, as bytes."""
+    for rows in slices(batches, "text"):
+        for k in range(0, rows.num_rows, 500):
+            part = rows.slice(k, 500)
+            text = text_features(part.column("text")).astype(np.float32)
+            meta = meta_features(part.column("source").to_pylist(), part.column("lang").to_pylist(), part.column("text")).astype(np.float32)
+            at = [np.flatnonzero(x) for x in text]
+            found = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for x, i in zip(text, at, strict=True)], [x.tobytes() for x in meta])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "content", "quality")), *(pa.array(x, pa.binary()) for x in found)], names=["doc_id", "content", "quality", "at", "value", "meta"])
+
+
+def _sample(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views' features and the labels of the first ``limit`` distinct rows of ``docs`` by a hash of doc_id.
+
+    Keys alone are ordered; texts become features where they are read, and what
+    comes to the driver is those of ``limit`` documents.
+    """
+    docs = docs.withColumn("content", F.xxhash64("text", "source", "lang"))
+    chosen = docs.select("doc_id", "content").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(limit)
+    rows = docs.select("doc_id", "content", "quality", "source", "lang", "text").join(F.broadcast(chosen), ["doc_id", "content"])  # ``limit`` rows at most
+    rows = rows.mapInArrow(_featured, "doc_id long, content long, quality int, at binary, value binary, meta binary").dropDuplicates(["doc_id", "content"])
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow().to_pylist()
+    text = np.zeros((len(rows), HASHED + _SHAPES), np.float32)
+    for x, row in zip(text, rows, strict=True):
+        x[np.frombuffer(row["at"], np.uint16)] = np.frombuffer(row["value"], np.float32)
+    meta = np.array([np.frombuffer(row["meta"], np.float32) for row in rows], np.float32).reshape(len(rows), _META)
+    return text, meta, np.array([row["quality"] if row["quality"] is not None else -1 for row in rows], float)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """None if there are not labels of both kinds. ``LABELLED`` and ``POOL`` documents at most, the first by a hash of doc_id, come to the driver."""
-    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    docs = docs.where("doc_id is not null")
-    labelled = docs.join(labels, "doc_id").orderBy(order, "doc_id").limit(LABELLED).toPandas()
-    pool = docs.join(labels, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).toPandas()
-    if labelled["quality"].nunique() < 2:
+    """None if there are not labels of both kinds. Features of ``LABELLED`` and ``POOL`` documents at most come to the driver; a repeated row counts once."""
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
+    text, meta, y = _sample(docs.join(labels, "doc_id"), LABELLED)
+    if len(np.unique(y)) < 2:
         return None
-    features = lambda x: (text_features(pa.array(x["text"], pa.string())), meta_features(x["source"].tolist(), x["lang"].tolist(), pa.array(x["text"], pa.string())))
-    (text, meta), (pool_text, pool_meta) = features(labelled), features(pool)
-    apart = np.arange(len(labelled)) % 4 == 0
-    return CoTrained(text, meta, labelled["quality"].to_numpy(float), apart, pool_text, pool_meta)
+    pool_text, pool_meta, _ = _sample(docs.join(labels, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), POOL)
+    return CoTrained(text, meta, y, np.arange(len(y)) % 4 == 0, pool_text, pool_meta)
 
 
 def classify(docs: DataFrame, model: CoTrained | None) -> DataFrame:
