@@ -175,15 +175,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "content", "quality")), *(pa.array(x, pa.binary()) for x in found)], names=["doc_id", "content", "quality", "at", "value", "meta"])
 
 
-def _sample(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views' features and the labels of the first ``limit`` distinct rows of ``docs`` by a hash of doc_id.
+def _sample(docs: DataFrame, keys: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views' features and the labels of the first ``limit`` distinct rows of ``keys`` (doc_id, content, quality) by a hash of doc_id.
 
-    Keys alone are ordered; texts become features where they are read, and what
-    comes to the driver is those of ``limit`` documents.
+    Keys alone are joined and ordered; texts become features where they are read,
+    and what comes to the driver is those of ``limit`` documents.
     """
-    docs = docs.withColumn("content", F.xxhash64("text", "source", "lang"))
-    chosen = docs.select("doc_id", "content").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(limit)
-    rows = docs.select("doc_id", "content", "quality", "source", "lang", "text").join(F.broadcast(chosen), ["doc_id", "content"])  # ``limit`` rows at most
+    chosen = keys.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(limit)
+    rows = docs.join(F.broadcast(chosen), ["doc_id", "content"])  # ``limit`` rows at most
+    rows = rows.select("doc_id", "content", "quality", "source", "lang", "text")
     rows = rows.mapInArrow(_featured, "doc_id long, content long, quality int, at binary, value binary, meta binary").dropDuplicates(["doc_id", "content"])
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow().to_pylist()
     text = np.zeros((len(rows), HASHED + _SHAPES), np.float32)
@@ -197,10 +197,12 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     """None if there are not labels of both kinds. Features of ``LABELLED`` and ``POOL`` documents at most come to the driver; a repeated row counts once."""
     labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
-    text, meta, y = _sample(docs.join(labels, "doc_id"), LABELLED)
+    docs = docs.withColumn("content", F.xxhash64("text", "source", "lang"))
+    keys = docs.select("doc_id", "content")
+    text, meta, y = _sample(docs, keys.join(labels, "doc_id"), LABELLED)
     if len(np.unique(y)) < 2:
         return None
-    pool_text, pool_meta, _ = _sample(docs.join(labels, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), POOL)
+    pool_text, pool_meta, _ = _sample(docs, keys.join(labels, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), POOL)
     return CoTrained(text, meta, y, np.arange(len(y)) % 4 == 0, pool_text, pool_meta)
 
 
