@@ -99,47 +99,68 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Adds words. Marks after a letter or digit are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
-        pieces = []
+        known, joined = self.known, " ".join(new)
+        special = [x for x in self.special if x in joined]  # the tokenizer finds these before anything else
+        letters, rest, plain, marked = {}, {}, [], []
         for w in new:
-            stem = w.rstrip(_MARKS)
-            whole = any(x in w for x in self.special)  # the tokenizer finds these before anything else
-            if whole or not stem or not stem[-1].isalnum():
-                stem = w
-            pieces.append((stem.lower() if stem.isascii() and not whole else stem, w[len(stem) :]))
-        if unknown := [x for x in dict.fromkeys(x for p in pieces for x in p) if x not in self.known]:
-            self._encode_new([x for x in unknown if x.isalpha()])
-            if rest := [x for x in unknown if x not in self.known]:
-                self._add(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
-        both, ids = [], []
-        for w, (stem, marks) in zip(new, pieces, strict=True):
-            if not marks:
-                self.known[w] = self.known[stem]
-            else:
-                both.append(w)
-                ids.append([i for x in (stem, marks) for i in self.ids[self.begins[self.known[x]] : self.begins[self.known[x] + 1]].tolist()])
-        self._add(both, ids)
-
-    def _encode_new(self, letters: list[str]) -> None:
+            stem, marks = w, ""
+            if not w.isalpha():
+                if special and any(x in w for x in special):
+                    rest[w] = None
+                    continue
+                stem = w.rstrip(_MARKS)
+                if stem and stem[-1].isalnum():
+                    marks = w[len(stem) :]
+                else:
+                    stem = w
+            if stem.isascii():
+                stem = stem.lower()
+            if stem not in known:
+                (letters if stem.isalpha() else rest)[stem] = None
+            if marks:
+                if marks not in known:
+                    rest[marks] = None
+                marked.append((w, stem, marks))
+            elif stem != w:
+                plain.append((w, stem))
+        if letters and not self._encode_new(list(letters)):
+            rest |= letters
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)]
+            self._add(list(rest), np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found]))
+        for w, stem in plain:
+            known[w] = known[stem]
+        if marked:
+            ids, lengths = self._ids_of(np.array([known[x] for _, *both in marked for x in both]))
+            self._add([x[0] for x in marked], ids, lengths.reshape(-1, 2).sum(axis=1))
+
+    def _encode_new(self, letters: list[str]) -> bool:
         """Words of letters are encoded as one text and cut at the ids that end a word, if these are as many as the words."""
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self.ending[ids]) + 1
-        if len(ends) == len(letters) and len(ids) and ends[-1] == len(ids):
-            ids = ids.tolist()
-            self._add(letters, [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
-
-    def _add(self, words: list[str], found: list[list[int]]) -> None:
-        if not words:
-            return
-        ends = self.begins[self.count] + np.cumsum([len(x) for x in found])
+        good = len(ends) == len(letters) and len(ids) > 0 and ends[-1] == len(ids)
+        if good:
+            self._add(letters, ids, np.diff(ends, prepend=0))
+        return good
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds words whose ids follow each other."""
+        ends = self.begins[self.count] + np.cumsum(lengths)
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(words) >= len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-        self.ids[self.begins[self.count] : ends[-1]] = list(chain.from_iterable(found))
+        self.ids[self.begins[self.count] : ends[-1]] = ids
         self.begins[self.count + 1 : self.count + 1 + len(words)] = ends
         self.known.update(zip(words, range(self.count, self.count + len(words)), strict=True))
         self.count += len(words)
 
+    def _ids_of(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words, by their numbers, one after another, and how many each has."""
+        begins, lengths = self.begins[k], self.begins[k + 1] - self.begins[k]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of the text; one of many words is encoded piece by piece, cut at white space."""
         out, at = [], 0
@@ -157,12 +178,9 @@ class WordEncoder:
     def _encode(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self._forget()
-        if new := list(dict.fromkeys(w for w in words if w not in self.known)):
-            self._learn(new)
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        begins, lengths = self.begins[k], self.begins[k + 1] - self.begins[k]
-        ends = np.cumsum(lengths)
-        return self.ids[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        if new := set(words).difference(self.known):
+            self._learn(list(new))
+        return self._ids_of(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
