@@ -37,7 +37,7 @@ from lapwing.llm.storage import new_path
 from lapwing.llm.words import slices
 
 #: Ids of a block; ids after which a segment is closed; words that a task remembers; characters encoded at once.
-BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 700_000, 1 << 20
+BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 1_500_000, 1 << 20
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII marks, without the apostrophe, which may belong to what follows it.
