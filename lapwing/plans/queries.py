@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions import running
 from lapwing.operators import asof, features, field, identity, publish, scoring
-from lapwing.plans import reading  # noqa: F401  registers its queries
+from lapwing.plans import archive, reading  # noqa: F401  register their queries
 from lapwing.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwing.sources.results import results, table
 from lapwing.streaming import events as streaming
