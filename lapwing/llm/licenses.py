@@ -1,21 +1,23 @@
 """License scans by conditional compression.
 
-A line is a candidate if it has a word that license texts are made of; runs of
-candidate lines, with the lines between them if few, are blocks. A block is
-compressed with each template as zstandard raw dictionary and without one; what
-a template saves, as a share, ranks the templates. The winners are confirmed by
-their exact words: the words of the block that the best-fitting stretch of the
-template has and lacks, in order. A block whose share of equal words is
-``CONFIRMED`` or more is reported with these differences.
+Every statement of a template is aligned with the words around the marks, which
+are words that license texts are made of: a stretch of the text fits if its
+share of equal words in order is ``CONFIRMED`` or more. Of stretches that meet,
+the one with most equal words beyond that share is kept. A stretch is compressed
+with each template as zstandard raw dictionary and without one; what a template
+saves, as a share, ranks the templates, and the license has to be among the
+first. Each stretch kept is reported with its span and with the words that it
+adds and lacks. A stretch inside a longer sentence or line has to name the
+license, if the statement does.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
-from functools import cache
+from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -60,34 +62,14 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 }
 
-#: Least share of a block's bytes that a template has to save; least share of equal words; templates confirmed of each block; lines without a mark inside a block.
-SAVED, CONFIRMED, RANKED, GAP = 0.2, 0.75, 3, 1
+#: Least share of a stretch's bytes that a template has to save; least share of equal words; templates that a stretch can be of.
+SAVED, CONFIRMED, RANKED = 0.2, 0.75, 3
 
 _MARK = re.compile(r"(?i)licen[sc]e|copyright|warrant|redistribut|permission is|sublicense|merchantab|\bspdx\b|without modification|source code form|creative commons")
-_STOP = re.compile(r"\.(?=\s|$)")
-_NEXT = re.compile(r"[.!?]\s+")
+_END = re.compile(r"[.!?:;\n]")
 _WORD = re.compile(r"[\w+-]+(?:\.\w+)*")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate blocks: sentences or lines with a mark, and those that follow each other joined."""
-    out: list[tuple[int, int]] = []
-    for m in _MARK.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        line = text.rfind("\n", 0, m.start()) + 1
-        begin = max(line, max((k.end() for k in _NEXT.finditer(text[line : m.start()])), default=0) + line)
-        stop = text.find("\n", m.start())
-        stop = len(text) if stop < 0 else stop
-        full = _STOP.search(text, m.end(), stop)
-        end = full.end() if full else stop
-        if out and text.count("\n", out[-1][1], begin) <= GAP and not text[out[-1][1] : begin].strip():
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((begin, end))
-    return out
-
-
 @cache
 def _compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
     whole = {k: "\n".join(v).encode() for k, v in TEMPLATES.items()}
@@ -95,6 +77,7 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCo
     return zstandard.ZstdCompressor(level=9, write_content_size=False), with_each
 
 
+@lru_cache(1024)
 def rank(block: str) -> list[tuple[float, str]]:
     """(share of bytes saved, license), the best first; of equals by name."""
     plain, with_each = _compressors()
@@ -107,38 +90,162 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def differences(block: str, license: str) -> tuple[float, list[str], list[str]]:
-    """Share of equal words with the nearest statement of the license, the words that the block adds, and those that it lacks."""
-    own, best = words_of(block), (0.0, words_of(block), [])
+def _unequal(own: list[str], theirs: list[str]) -> tuple[list[str], list[str]]:
+    """The words that only the one and only the other has, beside a longest common subsequence."""
+    longest = [[0] * (len(theirs) + 1) for _ in range(len(own) + 1)]
+    for i in range(len(own) - 1, -1, -1):
+        row, below = longest[i], longest[i + 1]
+        for k in range(len(theirs) - 1, -1, -1):
+            row[k] = below[k + 1] + 1 if own[i] == theirs[k] else max(below[k], row[k + 1])
+    added, lacking, i, k = [], [], 0, 0
+    while i < len(own) and k < len(theirs):
+        if own[i] == theirs[k]:
+            i, k = i + 1, k + 1
+        elif longest[i + 1][k] >= longest[i][k + 1]:
+            added.append(own[i])
+            i += 1
+        else:
+            lacking.append(theirs[k])
+            k += 1
+    return added + own[i:], lacking + theirs[k:]
+
+
+@lru_cache(1024)
+def differences(stretch: str, license: str) -> tuple[float, list[str], list[str]]:
+    """Share of equal words with the nearest statement of the license, the words that the stretch adds, and those that it lacks."""
+    own, best = words_of(stretch), (0.0, words_of(stretch), [])
     for statement in TEMPLATES[license]:
         theirs = words_of(statement)
-        match = SequenceMatcher(None, own, theirs, autojunk=False)
-        added, lacking = [], []
-        for op, a, b, c, d in match.get_opcodes():
-            if op != "equal":
-                added += own[a:b]
-                lacking += theirs[c:d]
-        same = len(own) - len(added)
-        share = 2 * same / max(1, len(own) + len(theirs))
+        if 2 * min(len(own), len(theirs)) <= best[0] * (len(own) + len(theirs)):
+            continue
+        added, lacking = _unequal(own, theirs)
+        share = 2 * (len(own) - len(added)) / max(1, len(own) + len(theirs))
         if share > best[0]:
             best = (share, added, lacking)
     return best
 
 
+#: Scores of an alignment, in hundredths: an equal word, and each word of the stretch. A stretch fits if its score is ``_EACH`` for each word of the statement.
+_EQUAL, _EACH, _BITS = 200, round(100 * CONFIRMED), 32
+
+
+class _Statement:
+    def __init__(self, license: str, text: str, numbers: dict[str, int]):
+        own = words_of(text)
+        self.license, self.words = license, np.array([numbers[w] for w in own])
+        self.count = np.bincount(self.words, minlength=len(numbers) + 1)
+        parts = set(re.split(r"[-.]", license.lower()))
+        self.names = [numbers[w] for w in set(own) if set(re.split(r"[-.]", w)) <= parts]
+        # From 2 same >= CONFIRMED (stretch + words), same <= stretch and same <= words: the fewest equal words and the longest stretch.
+        self.least = -(-_EACH * len(own) // (_EQUAL - _EACH))
+        self.longest = (_EQUAL - _EACH) * len(own) // _EACH
+        self.gain = np.full((len(numbers) + 1, len(own)), -1 << 60, np.int64)
+        self.gain[self.words, np.arange(len(own))] = (_EQUAL - _EACH) << _BITS
+
+    def align(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(score, begin, end) of the stretches that fit, the best of each begin."""
+        best = np.zeros(len(self.words) + 1, np.int64)
+        last = np.empty(len(words), np.int64)
+        for i, w in enumerate(words.tolist()):  # the lower bits hold where a stretch began
+            np.maximum(best, i, out=best)
+            new = best - (_EACH << _BITS)
+            np.maximum(new[1:], best[:-1] + self.gain[w], out=new[1:])
+            best = np.maximum.accumulate(new)
+            last[i] = best[-1]
+        found: dict[int, tuple[int, int]] = {}
+        for end in np.flatnonzero(last >> _BITS >= _EACH * len(self.words)).tolist():
+            score, begin = int(last[end]) >> _BITS, int(last[end]) & ((1 << _BITS) - 1)
+            if score > found.get(begin, (0, 0))[0]:
+                found[begin] = (score, end + 1)
+        return [(score, begin, end) for begin, (score, end) in found.items()]
+
+
+@cache
+def _statements() -> tuple[dict[str, int], list[_Statement], np.ndarray]:
+    """Numbers of the words of all statements, from 1; the statements; and which word each has."""
+    numbers: dict[str, int] = {}
+    for v in TEMPLATES.values():
+        for text in v:
+            for w in words_of(text):
+                numbers.setdefault(w, len(numbers) + 1)
+    out = [_Statement(k, text, numbers) for k, v in TEMPLATES.items() for text in v]
+    return numbers, out, np.stack([x.count > 0 for x in out], axis=1)
+
+
+def _places(x: _Statement, has: np.ndarray, marks: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of words around the marks with enough words of the statement; ``has`` and ``marks`` are counts up to each word."""
+    m = len(words)
+    wide = min(x.longest, m)
+    enough = (has[wide:] - has[: m + 1 - wide] >= x.least) & (marks[wide:] > marks[: m + 1 - wide])
+    at = np.flatnonzero(enough)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > wide) + 1) if len(at) else ():
+        a, b = int(run[0]), int(run[-1]) + wide
+        if np.minimum(np.bincount(words[a:b], minlength=len(x.count)), x.count).sum() >= x.least:
+            yield a, b
+
+
+def _stretches(text: str, spans: list[tuple[int, int]], words: np.ndarray, marks: np.ndarray) -> list[tuple]:
+    """(begin, end, license, saved, share, added, lacking) of the confirmed stretches, none meeting another; begin and end count words."""
+    _, statements, table = _statements()
+    has = np.zeros((len(words) + 1, len(statements)), np.int32)
+    np.cumsum(table[words], axis=0, out=has[1:])
+    upto = np.concatenate([[0], np.cumsum(marks)])
+    taken = np.zeros(len(words), bool)
+    ends = lambda k: k in (0, len(spans)) or bool(_END.search(text, spans[k - 1][1], spans[k][0]))
+    within = lambda a, b: text[spans[a][0] : spans[b - 1][1]]
+
+    def widened(x: _Statement, a: int, b: int) -> tuple[int, int]:
+        """With the words that stand for those that a statement has before or after, as in another version."""
+        c, d = a, b
+        for _ in range(int(np.flatnonzero(x.words == words[a])[0])):
+            c -= not ends(c) and not taken[c - 1]
+        for _ in range(int(np.flatnonzero(x.words[::-1] == words[b - 1])[0])):
+            d += not ends(d) and not taken[d]
+        return (c, d) if differences(within(c, d), x.license)[0] >= CONFIRMED else (a, b)
+
+    fits = []
+    for n, x in enumerate(statements):
+        for at, to in _places(x, has[:, n], upto, words):
+            for score, a, b in x.align(words[at:to]):
+                a, b = a + at, b + at
+                if upto[a] == upto[b] or x.names and not np.isin(words[a:b], x.names).any() and not all(map(ends, widened(x, a, b))):
+                    continue
+                saved = next((s for s, k in rank(within(a, b))[:RANKED] if k == x.license), 0.0)
+                if saved >= SAVED:
+                    fits.append((_EACH * len(x.words) - score, -saved, x.license, a, b, n))
+    kept, left = [], []
+    for fit in sorted(fits):
+        a, b = fit[3:5]
+        (left if taken[a:b].any() else kept).append(fit)
+        taken[a:b] |= not taken[a:b].any()
+    out = []
+    for _, saved, license, a, b, n in kept:
+        a, b = widened(statements[n], a, b)
+        taken[a:b] = True
+        out.append((a, b, license, -saved, *differences(within(a, b), license)))
+    # What met a better one is looked at again without its words.
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if upto[b] > upto[a] and any(f[3] < b and a < f[4] for f in left):
+            out += [(a + c, a + d, *more) for c, d, *more in _stretches(text, spans[a:b], words[a:b], marks[a:b])]
+    return out
+
+
 def find_licenses(text: str) -> list[dict]:
-    """The confirmed licenses of a text, by place."""
+    """The confirmed licenses of a text, each with its own span, by place."""
+    at = [m.start() for m in _MARK.finditer(text)]
+    if not at:
+        return []
+    found = list(_WORD.finditer(text))
+    numbers = _statements()[0]
+    words = np.array([numbers.get(m[0].lower(), 0) for m in found], np.int64)
+    marks = np.zeros(len(found), bool)
+    marks[np.searchsorted([m.start() for m in found], at, "right") - 1] = True
     out = []
-    for a, b in blocks(text):
-        block = text[a:b]
-        confirmed = []
-        for saved, name in rank(block)[:RANKED]:
-            if saved >= SAVED:
-                share, added, lacking = differences(block, name)
-                if share >= CONFIRMED:
-                    confirmed.append((-share, -saved, name, added, lacking))
-        if confirmed:
-            share, saved, name, added, lacking = min(confirmed)
-            out.append({"license": name, "start": a, "end": b, "saved": round(-saved, 4), "equal_words": round(-share, 4), "added": added, "lacking": lacking})
+    for a, b, license, saved, share, added, lacking in sorted(_stretches(text, [m.span() for m in found], words, marks)):
+        end = found[b - 1].end()
+        end += text[end : end + 1] in (".", ":")
+        out.append({"license": license, "start": found[a].start(), "end": end, "saved": round(saved, 4), "equal_words": round(share, 4), "added": list(added), "lacking": list(lacking)})
     return out
 
 

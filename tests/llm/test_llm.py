@@ -237,6 +237,19 @@ def test_licenses(spark):
     assert (added, lacking) == (["4"], ["3"])
 
 
+def test_licenses_that_meet():
+    mit, apache, bsd = (licenses.TEMPLATES[k] for k in ("MIT", "Apache-2.0", "BSD-3-Clause"))
+    wrap = lambda text, by="\n": re.sub(r"(.{1,55})(?:\s+|$)", lambda m: m[1] + by, text)
+    own = lambda text: [(f["license"], text[f["start"] : f["end"]]) for f in licenses.find_licenses(text)]
+    assert own(f"{mit[0]}\n" * 3) == [("MIT", mit[0])] * 3 and len(own(f"{mit[0]} " * 500)) == 500
+    assert own(f"{mit[0]}\n{apache[0]}") == own(f"{mit[0]} {apache[0]}") == [("MIT", mit[0]), ("Apache-2.0", apache[0])]
+    assert own(f"MIT License Copyright (c) 2020 A. B. {mit[1]} The above notice shall be included. {mit[2]}") == [("MIT", mit[1]), ("MIT", mit[2])]
+    assert own(wrap(mit[1])) == [("MIT", wrap(mit[1]).rstrip())] and [k for k, _ in own(wrap(f"{bsd[0]} {bsd[1]}", "\n # "))] == ["BSD-3-Clause"] * 2
+    assert [k for k, _ in own("we say that this is licensed under CC BY-NC 4.0 and that the code is released under the MIT license for all")] == ["CC-BY-NC-4.0", "MIT"]
+    assert own("the book was released under the old license and everybody was glad") == []
+    assert len(own(", ".join(v[-1] for v in licenses.TEMPLATES.values()))) == len(licenses.TEMPLATES)
+
+
 def test_quality(spark):
     rows = [(k, "the quick brown fox and a lazy dog went home, slowly. " * 4 if k % 3 else "BUY!! NOW!! CHEAP!! " * 12, "en", f"s{k % 5}", 1, "x", 1, "y") for k in range(300)] + [(900, None, None, None, None, None, None, None)]
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300, 2)] + [(None, 1), (5000, 0)], "doc_id long, quality int")
