@@ -4,9 +4,10 @@ Three plain patterns (assignments, access keys, long hex runs) give the base
 spans. Beyond them, candidates that may hold a key or a token are decoded and
 their structure is parsed before anything is reported:
 
-- ``der``: base64 or hex of a DER private key. The outer length must be that of
-  the candidate, lengths must nest, and the fields must be those of a PKCS#1,
-  PKCS#8 or SEC1 key.
+- ``der``: base64 or hex of a DER private key. Base64 may begin at the start of
+  any line of a run and ends where the outer length ends; hex must have that
+  length. Lengths must nest, and the fields must be those of a PKCS#1, PKCS#8 or
+  SEC1 key.
 - ``openssh``: base64 of ``openssh-key-v1`` with nested length-prefixed fields.
 - ``jwt``: three parts of base64url, of which the first decodes to a JSON header
   that names an algorithm, and the second to a JSON object.
@@ -35,8 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: A run of base64, lines of one included, and hex of either case. The least lengths are under those of any key.
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: How base64 of a private key begins: a DER sequence, or the magic word of OpenSSH. What stands between the lines of base64: they may be indented, and their ends may be escaped. Hex of either case.
+_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
+_LINE = re.compile(r"[A-Za-z0-9+/]+")
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
+#: Fewest characters of base64, which are under those of any key.
+LEAST_BASE64 = 40
 _HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
@@ -92,11 +97,11 @@ def is_private_key(data: bytes) -> bool:
     return version == 1 and len(tags) > 1 and tags[1] == 0x04 and fields[1][2] - fields[1][1] >= 20 and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: cipher, kdf, options, a count, public keys, private part."""
+def openssh_key_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends that the bytes begin with: cipher, kdf, options, a count, public keys, private part. None if there is none."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def field() -> bytes | None:
@@ -108,9 +113,57 @@ def is_openssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(field() is None for _ in range(3)):
-        return False
+        return None
     count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    return 1 <= count <= 16 and all(field() for _ in range(count + 1))
+    return at if 1 <= count <= 16 and all(field() for _ in range(count + 1)) else None
+
+
+def _gather(text: str, at: int, wanted: int) -> tuple[str, int]:
+    """The next characters of base64 without what stands between lines, as many as are there, and where they end."""
+    parts, end = [], at
+    while wanted and (m := _LINE.match(text, at, at + wanted)):
+        parts.append(m[0])
+        wanted, end = wanted - len(m[0]), m.end()
+        gap = _BREAK.match(text, end)
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def _key_at(text: str, at: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the private key whose base64 begins at a place."""
+    if text[at] == "M":
+        head = _base64(_gather(text, at, 16)[0]) or b""
+        outer = _der(head, 0, 1 << 40) if len(head) == 12 else None
+        if outer is None or head[outer[1] : outer[1] + 2] != b"\x02\x01":
+            return None
+        kind, size = "der", outer[2]
+    else:
+        kind, size, wanted = "openssh", None, 4096
+        while size is None:  # its length is known only when all its fields are
+            run, _ = _gather(text, at, wanted)
+            size = openssh_key_end(_base64(run[: len(run) - (len(run) % 4 == 1)]) or b"")
+            if size is None and len(run) < wanted:
+                return None
+            wanted *= 4
+    count = (4 * size + 2) // 3
+    run, end = _gather(text, at, count)
+    if len(run) < max(count, LEAST_BASE64) or kind == "der" and not is_private_key(_base64(run) or b""):
+        return None
+    pad = -count % 4
+    return kind, at, end + (pad if text[end : end + pad] == "=" * pad else 0)
+
+
+def _base64_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    done = 0
+    for m in _START.finditer(text):
+        at = m.start()
+        if at >= done and (not at or not _LINE.match(text, at - 1, at) or text[max(0, at - 2) : at] == "\\n"):
+            key = _key_at(text, at)
+            if key:
+                yield key
+                done = key[2]
 
 
 def is_signed_token(text: str) -> bool:
@@ -128,12 +181,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     out += [("hex", *m.span()) for m in HEX.finditer(text) if len(m[0]) >= LEAST_HEX]
-    for m in _BASE64.finditer(text):
-        data = _base64(m[0])
-        if data and is_private_key(data):
-            out.append(("der", *m.span()))
-        elif data and is_openssh_key(data):
-            out.append(("openssh", *m.span()))
+    out += _base64_keys(text)
     out += [("der", *m.span()) for m in _HEX.finditer(text) if is_private_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]

@@ -212,6 +212,27 @@ def test_secrets(spark):
     assert got[7] == [("assign", 0, 20), ("access", 22, 46)]
 
 
+def test_secrets_end_where_their_encoding_ends():
+    encoded = lambda data: base64.b64encode(data).decode()
+    curve, point = bytes.fromhex("06072a8648ce3d0201"), bytes.fromhex("06082a8648ce3d030107")
+    ed25519 = der(b"\x02\x01\x00", der(bytes.fromhex("06032b6570")), b"\x04\x22\x04\x20" + bytes(range(1, 33)))
+    p256 = der(b"\x02\x01\x00", der(curve, point), b"\x04\x6d" + bytes(range(109)))
+    rsa = der(b"\x02\x01\x00", *[b"\x02\x10" + bytes(range(k, k + 16)) for k in range(1, 9)])
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    openssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(bytes(51)) + field(bytes(range(136)) * 30)
+    assert (len(ed25519), len(p256)) == (48, 138)
+    for kind, data in (("der", ed25519), ("der", p256), ("der", rsa), ("openssh", openssh)):
+        key = encoded(data)
+        lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+        for between in ("\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n", " \n"):
+            one = between.join(lines)
+            for before, after in (("", ""), ("KEY=", "\nOTHER=x"), ("", "\nthen prose follows"), (f"{'x' * 64}\n", "\nword\nword"), ("-----BEGIN PRIVATE KEY-----" + between, between + "-----END PRIVATE KEY-----"), ("word" + between, "")):
+                assert [s for s in secrets.find_spans(before + one + after) if s[0] == kind] == [(kind, len(before), len(before) + len(one))]
+        two = secrets.find_spans(f"{key}\n{key}\n")
+        assert [s for s in two if s[0] == kind] == [(kind, 0, len(key)), (kind, len(key) + 1, 2 * len(key) + 1)]
+        assert not [s for s in secrets.find_spans(f"{key[:-8]}\n-") if s[0] == kind]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi </s>[INST] \\ [INST]"), (1, 1, "assistant", "s"), (1, 2, "assistant", None), (2, 0, None, ""), (2, 0, "assistant", "INST]"), (None, 1, "user", "x"), (3, 1, "user", "b"), (3, 0, "system", "a")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
