@@ -11,14 +11,18 @@ def link(entrants: DataFrame, runners: DataFrame) -> DataFrame:
 
     No runner of the key and a compatible sex: new. One: linked. Several: linked
     if exactly one has the entrant's town, else ambiguous. A runner claimed by
-    several entrants makes all of these ambiguous. Candidates are counted, never
-    listed, so a common name costs its rows only.
+    several entrants makes all of these ambiguous. Both sides are summed up by
+    key, sex and town before they meet, so a common name costs its rows only.
     """
-    e, r = entrants.alias("e"), runners.alias("r")
+    same = ["key", "sex", "hometown"]
+    e, r = entrants.select(*same).distinct().alias("e"), runners.groupBy(*same).agg(F.count("id").alias("ids"), F.min("id").alias("least")).alias("r")
     fits = F.col("r.sex").isNull() | F.col("e.sex").isNull() | (F.col("r.sex") == F.col("e.sex"))
     both = e.join(r, (F.col("e.key") == F.col("r.key")) & fits, "left")
     here = F.col("e.hometown") == F.col("r.hometown")
-    counts = both.groupBy(F.col("e.id").alias("entrant_id")).agg(F.count("r.id").alias("n"), F.sum(F.when(here, 1).otherwise(0)).alias("near"), F.min("r.id").alias("only"), F.min(F.when(here, F.col("r.id"))).alias("only_near"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    groups = both.groupBy(*[F.col(f"e.{c}").alias(c) for c in same]).agg(total("ids").alias("n"), total(F.when(here, F.col("ids"))).alias("near"), F.min("least").alias("only"), F.min(F.when(here, F.col("least"))).alias("only_near")).alias("g")
+    back = entrants.alias("e").join(groups, [F.col(f"e.{c}").eqNullSafe(F.col(f"g.{c}")) for c in same])
+    counts = back.select(F.col("e.id").alias("entrant_id"), "n", "near", "only", "only_near")
     found = F.when(F.col("n") == 1, F.col("only")).when((F.col("n") > 1) & (F.col("near") == 1), F.col("only_near"))
     status = F.when(F.col("n") == 0, "new").when(found.isNull(), "ambiguous").otherwise("linked")
     rows = counts.select("entrant_id", status.alias("status"), found.alias("runner_id"))

@@ -253,6 +253,18 @@ def link_status_counts(spark, sf_dir):
     return every.join(identity.link(*_people(spark, sf_dir)), "status", "left").groupBy("status").agg(F.count("entrant_id").alias("entrants"))
 
 
+@query(""" people AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 1000 < 500 THEN 'a' || (c_custkey // 3) ELSE 'b' || (c_custkey // 9) END AS key, CASE WHEN c_custkey % 11 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END END AS sex, n_name AS hometown FROM customer JOIN nation ON c_nationkey = n_nationkey
+), pairs AS (SELECT e.id AS entrant_id, r.id AS rid, e.hometown = r.hometown AS near FROM people e LEFT JOIN people r ON e.key = r.key AND r.id % 7 <> 0 AND (e.sex IS NULL OR r.sex IS NULL OR e.sex = r.sex) WHERE e.id % 7 = 0
+), picked AS (SELECT entrant_id, CASE WHEN count(rid) = 1 THEN max(rid) WHEN count(rid) FILTER (WHERE near) = 1 THEN max(rid) FILTER (WHERE near) END AS pick, count(rid) AS n FROM pairs GROUP BY entrant_id
+), claimed AS (SELECT *, count(*) OVER (PARTITION BY pick) AS claims FROM picked)
+SELECT entrant_id, CASE WHEN n = 0 THEN 'new' WHEN pick IS NULL OR claims > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CASE WHEN claims = 1 THEN pick END AS runner_id FROM claimed""", with_results=False)
+def link_whole_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.expr("if(c_custkey % 1000 < 500, 'a' || (c_custkey div 3), 'b' || (c_custkey div 9))")
+    people = rows.select(F.col("c_custkey").alias("id"), key.alias("key"), F.when(F.col("c_custkey") % 11 > 0, F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M")).alias("sex"), F.col("n_name").alias("hometown"))
+    return identity.link(people.where("id % 7 = 0"), people.where("id % 7 <> 0"))
+
+
 @query(""" n AS (SELECT *, coalesce((lag(event_type) OVER w <> event_type)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n)
 SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS rows FROM g GROUP BY user_id, run""", with_results=False)
 def consecutive_runs(spark, sf_dir):
