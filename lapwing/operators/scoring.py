@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ from lapwing.operators.asof import category_medians, with_history
 #: Edges of the distance bands, half open.
 BANDS = (0.0, 3000.0, 6000.0, 9000.0, 12000.0, 18000.0, 30000.0, 1e9)
 LEVEL, CALIBRATION = 0.8, 50
+#: Resamples of published intervals; numbers of 64 bits from which on a unit is drawn once, twice and so on.
+DRAWS = 2000
+_CUTS = np.array([int(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)) * 2**53) << 11 for k in range(17)], np.uint64)
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -102,6 +110,47 @@ def bootstrap(rows: DataFrame, unit: str, value: Column, by: str, draws: int = 4
     return units.groupBy(by).agg(F.round(F.sum("total") / F.sum("n"), 6).alias("point"), F.sum("n").alias("n")).join(limits, by)
 
 
+def drawn_counts(seeds: np.ndarray, draws: int) -> np.ndarray:
+    """How often each unit is in each resample, as Poisson numbers of mean 1 that its seed and the draw alone decide."""
+    x = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_CUTS, x ^ (x >> np.uint64(31)), "right")
+
+
+def _resample(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[pa.RecordBatch]:
+    sums: dict[str | None, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * draws, pa.string()), pa.array(np.arange(1, draws + 1)), pa.array(v[0]), pa.array(v[1])], names=["by", "draw", "total", "n"])
+        sums.clear()
+
+    for batch in batches:
+        by = np.array(batch.column("by").to_pylist(), object)
+        seeds, *values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "total", "n"))
+        own = np.stack(values).astype(np.float64)
+        for at in range(0, len(by), 512):
+            counts = drawn_counts(seeds[at : at + 512], draws).astype(np.float64)
+            piece = by[at : at + 512]
+            for k in set(piece):
+                mine = np.array([x == k for x in piece])
+                sums[k] = sums.get(k, 0) + own[:, at : at + 512][:, mine] @ counts[mine]
+            if len(sums) > 256:
+                yield from flush()
+    yield from flush()
+
+
+def bootstrap_whole(rows: DataFrame, unit: str, value: Column, by: str, draws: int = DRAWS) -> DataFrame:
+    """As ``bootstrap``, with as many resamples as published intervals have: tasks sum up their units for all draws at once."""
+    units = rows.groupBy(F.col(by).cast("string").alias("by"), unit).agg(F.sum(value).cast("double").alias("total"), F.count(value).alias("n")).where("n > 0")
+    sums = units.select("by", F.xxhash64(unit).alias("seed"), "total", "n").mapInArrow(lambda batches: _resample(batches, draws), "by string, draw long, total double, n double")
+    means = sums.groupBy("by", "draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))
+    limits = means.groupBy("by").agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
+    points = units.groupBy("by").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("point"), F.sum("n").alias("n")).alias("p")
+    return points.join(limits.alias("l"), F.col("p.by").eqNullSafe(F.col("l.by"))).select(F.col("p.by").alias(by), "point", "n", "low", "high")
+
+
 def intervals(rows: DataFrame, width: float = 0.1) -> DataFrame:
     """Raw intervals around ``carry`` and the conformity score of each: how far, in logs, the result lies outside."""
     low, high = F.col("carry") * F.lit(1 - width), F.col("carry") * F.lit(1 + width)

@@ -212,6 +212,16 @@ def cluster_bootstrap_rate(spark, sf_dir):
     return scoring.bootstrap(_scored(spark, sf_dir), "race_id", (F.abs(F.col("carry") - F.col("seconds")) / F.col("seconds") < 0.1).cast("int"), "stratum")
 
 
+@query()
+def bootstrap_mae_ci_2000(spark, sf_dir):
+    return scoring.bootstrap_whole(_scored(spark, sf_dir), "entry_id", F.abs(F.col("carry") - F.col("seconds")) / 60, "stratum")
+
+
+@query()
+def cluster_bootstrap_rate_2000(spark, sf_dir):
+    return scoring.bootstrap_whole(_scored(spark, sf_dir), "race_id", (F.abs(F.col("carry") - F.col("seconds")) / F.col("seconds") < 0.1).cast("int"), "stratum")
+
+
 _ROLLING = """, own AS (SELECT *, greatest(ln(carry * 0.9::DOUBLE) - ln(seconds), ln(seconds) - ln(carry * 1.1::DOUBLE)) AS score FROM scored WHERE carry IS NOT NULL
 ), dates AS (SELECT DISTINCT stratum, race_date FROM own
 ), cut AS (SELECT d.stratum, d.race_date, count(o.score) AS pool, list_sort(list(o.score)) AS l FROM dates d LEFT JOIN own o ON o.stratum = d.stratum AND o.race_date < d.race_date GROUP BY ALL
