@@ -415,7 +415,7 @@ def stream_first_seen(spark, sf_dir):
     return streaming.run_to_table(streaming.first_seen(stream, "60 days"), "first", _stream_folder(spark)).select("user_id").distinct()
 
 
-@query()
+@query(" z AS (SELECT 1) SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL", with_results=False)
 def stream_hourly_windows(spark, sf_dir):
     stream = streaming.event_stream(spark, f"{sf_dir}/events.parquet")
-    return streaming.run_to_table(streaming.hourly(stream), "hourly", _stream_folder(spark))
+    return streaming.run_to_table(streaming.hourly(stream), "hourly", _stream_folder(spark), "complete")
