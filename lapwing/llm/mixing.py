@@ -34,6 +34,11 @@ def _uniform(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def words_in(text: Column) -> Column:
+    """The number of ``[^\\x20\\x09-\\x0D]+`` in a text."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``source, source_size, target`` from rows (source, size): all words shared out by weight, no target above ``most`` times its source.
 
@@ -55,7 +60,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` for every row of ``docs`` (doc_id, text, source).
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs`` (doc_id, text, source).
 
     A size is the number of ``[^\\x20\\x09-\\x0D]+`` in the text; null and blank texts
     have 0 and take 0 words. Null is a source of its own, the last one. Rows of
@@ -63,7 +68,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     doc_id comes first. An empty table gives an empty one. Other columns are not
     looked at. The result depends on the rows alone, not on their places.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
     sized = save(sized, "sizes")
     bits = F.length(F.bin("size"))
     eighth = F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")
@@ -80,11 +85,11 @@ def mixture(docs: DataFrame) -> DataFrame:
     copies = (F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))).cast("long")
     out = numbered.join(groups, ["key", "class", "spread"]).withColumns({"rate": rate, "offset": offset})
     out = out.withColumn("copies", F.least(copies, F.lit(int(MOST)).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", F.col("key.source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op6_systematic_mix(spark, sf_dir: str) -> DataFrame:
-    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
+    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies", "source")
 
 
 QUERIES: dict[str, Callable] = {"op6_systematic_mix": op6_systematic_mix}

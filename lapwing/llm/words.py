@@ -12,15 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
+from xxhash import xxh3_64_intdigest
 
 #: Bytes hashed at a time: small enough for the processor's cache.
 PIECE = 1 << 18
 #: Bytes of text of the rows handed on at a time; a longer text comes alone.
 SLICE = 4 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a word that are hashed here; xxhash takes those of a longer one.
+_LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lower_az() -> np.ndarray:
@@ -51,13 +53,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _hashed(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words [a, b) of ``low``, which has 8 bytes more than the last: blocks of 8 bytes, each mixed in before the next."""
+    block = lambda at, left: sliding_window_view(low, 8)[at].view("<u8")[:, 0] & _MASKS[np.minimum(left, 8)]
+    length = b - a
+    h = mix(block(a, length) + mix(length.astype(np.uint64)))
+    at, done = np.flatnonzero(length > 8), 8
+    while len(at) and done < _LONG:
+        h[at] = mix((h[at] ^ block(a[at] + done, length[at] - done)) + np.uint64(done))
+        done += 8
+        at = at[length[at] > done]
+    for i in at.tolist():
+        h[i] = xxh3_64_intdigest(low[a[i] : b[i]])
+    return h
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 def words(text: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lowered, their first bytes, the bytes after them, and the index of each text's first word (with the end)."""
-    value = mix(lower_az().astype(np.uint64) + np.uint64(1))
+    lower = lower_az()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     begins = np.zeros(len(text) + 1, bool)
     begins[bounds] = True
@@ -106,11 +114,9 @@ def words(text: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.nd
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _to(len(piece))
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(value[piece] * up, out=total[1:])
-        h = (total[b] - total[a]) * down[a]
-        found.append((mix(h + (b - a).astype(np.uint64)), a + at, b + at))
+        low = np.zeros(len(piece) + 8, np.uint8)
+        low[:-8] = lower[piece]
+        found.append((_hashed(low, a, b), a + at, b + at))
         at = to
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
