@@ -5,9 +5,9 @@ filters of several widths run over the window, the largest answer of each
 filter is kept, and a softmax over these gives the window's languages. The
 text's are the mean over all of its windows, weighted by their bytes.
 
-Training sees a bounded sample of the labelled texts (``SAMPLE`` of each
-language, the first by a hash of their text); scoring sees every window of every
-text.
+Training sees a bounded sample of the labelled rows: ``SAMPLE`` distinct texts of
+each language, the first by a hash of their text, and ``SAMPLE_WINDOWS`` windows
+of each, evenly spread over all of it. Scoring sees every window of every text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lapwing.llm.words import slices, utf8
 
-#: Bytes of a window; texts sampled of each language; windows sampled of each text at most.
-WINDOW, SAMPLE, SAMPLE_WINDOWS = 256, 300, 6
+#: Bytes of a window; texts sampled of each language; windows sampled of each of these texts.
+WINDOW, SAMPLE, SAMPLE_WINDOWS = 256, 300, 8
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 12, 6
 STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 20
 #: Windows scored at once.
@@ -96,14 +96,9 @@ class ByteNetwork:
             np.add.at(g["bytes"], c["windows"][rows[:, :, None], places], spread)
         return g
 
-    def fit(self, texts: list[bytes], labels: list[int], seed: int = SEED) -> ByteNetwork:
-        """Adam over batches with as many windows of each language; some are cut short, as short texts are."""
+    def fit(self, own: list[list[bytes]], seed: int = SEED) -> ByteNetwork:
+        """Adam over batches with as many of the windows ``own`` of each language; some are cut short, as short texts are."""
         r = np.random.default_rng(seed)
-        own: list[list[bytes]] = [[] for _ in self.classes]
-        for text, label in zip(texts, labels, strict=True):
-            count = max(1, -(-len(text) // WINDOW))
-            for i in r.permutation(count)[:SAMPLE_WINDOWS]:
-                own[label].append(text[i * WINDOW : (i + 1) * WINDOW])
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         some = [k for k, x in enumerate(own) if x]
         for step in range(1, STEPS + 1):
@@ -160,14 +155,35 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in slices(batches, "text"):
+        found: tuple[list, ...] = ([], [], [], [])
+        for lang, k, text in zip(*(rows.column(c).to_pylist() for c in ("lang", "k")), rows.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            count = -(-len(text) // WINDOW)
+            some = min(count, SAMPLE_WINDOWS)
+            for i in range(some):
+                at = i * count // some * WINDOW
+                for column, value in zip(found, (lang, k, i, text[at : at + WINDOW]), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["lang", "k", "i", "piece"])
+
+
 def train(docs: DataFrame) -> ByteNetwork:
-    """From ``doc_id``, ``text`` and ``lang`` of the rows that are not held out, where text and lang are not null. At most ``SAMPLE`` texts a language come to the driver."""
+    """From ``doc_id``, ``text`` and ``lang`` of the rows that are not held out, where text and lang are not null.
+
+    Hashes of the texts are ranked, not texts, and of those chosen only the
+    windows sampled come to the driver: ``SAMPLE * SAMPLE_WINDOWS`` a language at
+    most. Repeated texts of one language count once.
+    """
     own = docs.where("text is not null and text <> '' and lang is not null").where(~held_out(F.col("doc_id")))
-    own = own.select(F.col("lang").cast("string").alias("lang"), "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")).alias("k"))
-    rows = sorted((r["lang"], r["k"], r["text"]) for r in own.where(F.col("k") <= SAMPLE).toLocalIterator())
-    classes = sorted({r[0] for r in rows})
+    own = own.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("hash"))
+    keys = own.select("lang", "hash").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("k") <= SAMPLE)
+    rows = own.join(F.broadcast(keys), ["lang", "hash"])  # SAMPLE rows a language
+    found = rows.select("lang", "k", "text").mapInArrow(_sampled, "lang string, k int, i int, piece binary").dropDuplicates(["lang", "k", "i"]).toArrow()
+    found = sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "k", "i", "piece")), strict=True))
+    classes = sorted({r[0] for r in found})
     network = ByteNetwork(classes)
-    return network.fit([r[2].encode() for r in rows], [classes.index(r[0]) for r in rows]) if classes else network
+    return network.fit([[r[3] for r in found if r[0] == c] for c in classes]) if classes else network
 
 
 def identify(docs: DataFrame, network: ByteNetwork, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -175,8 +191,9 @@ def identify(docs: DataFrame, network: ByteNetwork, keep: tuple[str, ...] = ("do
 
     ``lang_pred`` is a language learned, or ``und`` with a score of 0 if the text
     is null or has no letter (or nothing could be learned). The score is the mean
-    probability over the whole text. Equal texts get equal answers; rows repeat
-    as they do; columns not named are not looked at.
+    probability over the whole text, however long; of languages equally likely
+    the first by name is given. Equal texts get equal answers; rows repeat as
+    they do, an empty table gives an empty one; columns not named are not looked at.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
