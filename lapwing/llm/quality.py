@@ -2,13 +2,16 @@
 
 Two classifiers look at a document from two sides: one at the text's content
 (hashed words and the shapes of words, as shares), one at the page's metadata
-(source, language, length, and the shape of the page: its lines, the share of
-each class of characters). Both are logistic regressions trained in numpy on a
-bounded sample of the labelled documents. Over ``ROUNDS`` rounds each gives the
-other the labels of those unlabelled documents that it is surest of, as many of
-each class as the labels have in proportion. Then both views are calibrated on
-labelled documents that were kept apart, and the mean of their log odds scores
-every document.
+alone (source, language, recorded length). Both are logistic regressions trained
+in numpy on a bounded sample of the labelled documents. Over ``ROUNDS`` rounds
+each gives the other the labels of those documents without a label of the sample
+that it is surest of, among all of them, as many of each class as the labels have
+in proportion. Then both views are calibrated on labelled documents that were
+kept apart, and the sum of their log odds over those of the labels scores every
+document.
+
+Texts become features once, in a table; each round reads it, keeps the surest of
+each task, and takes the surest of these.
 """
 
 from __future__ import annotations
@@ -22,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.llm.storage import drop, save
 from lapwing.llm.words import mix, not_space, slices, utf8, words
 
-#: Labelled and unlabelled documents sampled at most; hashed columns of the text; words of a text that a sample's features come from are all of them.
-LABELLED, POOL, HASHED = 4000, 4000, 2048
+#: Labelled documents sampled at most; hashed columns of the text.
+LABELLED, HASHED = 4000, 2048
 ROUNDS, ADDED, STEPS, SEED = 5, 100, 300, 11
 #: Documents under this probability of good quality are not kept.
 KEPT = 0.5
 
 _SHAPES = 12
-_META = 64 + 16 + 12
+_SOURCES, _LANGS, _SIZES = 64, 16, 32
+_META = _SOURCES + _LANGS + _SIZES + 1
+_COLUMNS = "doc_id long, content long, source string, lang string, n_chars double, at binary, value binary"
 
 
 def text_features(column: pa.Array) -> np.ndarray:
@@ -60,27 +66,15 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(source: list, lang: list, column: pa.Array) -> np.ndarray:
-    """Hashed source and language, length, lines, and shares of classes of characters."""
-    data, bounds = utf8(column)
-    n = len(source)
-    out = np.zeros((n, _META))
-    for i, (s, k) in enumerate(zip(source, lang, strict=True)):
-        out[i, zlib.crc32(str(s).encode()) % 64] = 1
-        out[i, 64 + zlib.crc32(str(k).encode()) % 16] = 1
-    size = np.diff(bounds)
-    low, high = bounds[:-1], bounds[1:]
-    total = lambda mask: (lambda c: c[high] - c[low])(np.concatenate([[0], np.cumsum(mask)]))
-    lines = total(data == 10) + 1
-    kinds = np.zeros(256, np.uint8)
-    kinds[65:91], kinds[97:123], kinds[48:58], kinds[128:], kinds[[32, 10, 9, 13]] = 1, 2, 3, 4, 5
-    kinds[[44, 46]] = 6
-    own = kinds[data]
-    for k in range(7):
-        out[:, 80 + k] = total(own == k) / np.maximum(size, 1)
-    out[:, 87] = np.log1p(size) / 15
-    out[:, 88] = np.log1p(lines) / 8
-    out[:, 89] = np.log1p(size / lines) / 10
+def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """Hashed source and language, and the recorded length: by powers of 2, and its logarithm. A null is a value of its own."""
+    out = np.zeros((len(source), _META), np.float32)
+    for i, (s, k, n) in enumerate(zip(source, lang, n_chars, strict=True)):
+        out[i, zlib.crc32(str(s).encode()) % _SOURCES] = 1
+        out[i, _SOURCES + zlib.crc32(str(k).encode()) % _LANGS] = 1
+        size = np.log2(1 + max(n, 0)) if n is not None and np.isfinite(n) else 0.0
+        out[i, _SOURCES + _LANGS + (_SIZES - 1 if n is None else min(int(size), _SIZES - 2))] = 1
+        out[i, -1] = size / 20
     return out
 
 
@@ -117,28 +111,27 @@ def calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class CoTrained:
-    """Both views' classifiers and their calibrations."""
-
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, apart: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray):
-        views, pools = (text, meta), (pool_text, pool_meta)
-        own = [(v[~apart], y[~apart], np.ones((~apart).sum())) for v in views]
-        share = float(np.clip(y[~apart].mean(), 0.02, 0.98)) if (~apart).any() else 0.5
-        taken = [np.zeros(len(pool_text), bool) for _ in views]
-        for round_ in range(ROUNDS + 1):
-            self.views = [self._fit(*x) for x in own]
-            if round_ == ROUNDS or not len(pool_text):
-                break
-            for k in (0, 1):
-                odds = self.views[k].odds(pools[k])
-                odds[taken[1 - k]] = 0
-                order = np.argsort(odds, kind="stable")
-                good, bad = order[::-1][: round(ADDED * share)], order[: round(ADDED * (1 - share))]
-                good, bad = good[odds[good] > 1], bad[odds[bad] < -1]
-                new, labels = np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
-                taken[1 - k][new] = True
-                x, t, w = own[1 - k]
-                own[1 - k] = (np.concatenate([x, pools[1 - k][new]]), np.concatenate([t, labels]), np.concatenate([w, np.full(len(new), 0.5)]))
-        self.calibrations = [calibrate(m.odds(v[apart]), y[apart]) for m, v in zip(self.views, views, strict=True)]
+    """Both views' classifiers, trained on what they were given so far, and their calibrations."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        self.whole, self.y, self.apart = (text, meta), y, np.arange(len(y)) % 4 == 0
+        self.own = [(v[~self.apart], y[~self.apart], np.ones((~self.apart).sum())) for v in self.whole]
+        self.share = float(np.clip(y.mean(), 0.02, 0.98))
+        self.fit()
+
+    def fit(self) -> None:
+        self.views = [self._fit(*x) for x in self.own]
+
+    def give(self, view: int, x: np.ndarray, labels: np.ndarray) -> None:
+        """Pseudo-labels, which count half."""
+        a, t, w = self.own[view]
+        self.own[view] = np.concatenate([a, x]), np.concatenate([t, labels]), np.concatenate([w, np.full(len(x), 0.5)])
+
+    def finish(self) -> None:
+        self.calibrations = [calibrate(m.odds(v[self.apart]), self.y[self.apart]) for m, v in zip(self.views, self.whole, strict=True)]
+        p = (self.y[self.apart].sum() + 1) / (self.apart.sum() + 2)
+        self.prior = float(np.log(p / (1 - p)))
+        del self.whole, self.own
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Logistic:
@@ -149,78 +142,113 @@ class CoTrained:
         """Probabilities of good quality: by text, by metadata, by both."""
         odds = [a * m.odds(x) + b for m, x, (a, b) in zip(self.views, (text, meta), self.calibrations, strict=True)]
         p = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return p(odds[0]), p(odds[1]), p((odds[0] + odds[1]) / 2)
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: CoTrained | None) -> Iterator[pa.RecordBatch]:
-    for rows in slices(batches, "text"):
-        for k in range(0, rows.num_rows, 500):
-            part = rows.slice(k, 500)
-            if model is None:
-                found = (np.full(part.num_rows, 0.5),) * 3
-            else:
-                found = model.scores(text_features(part.column("text")), meta_features(part.column("source").to_pylist(), part.column("lang").to_pylist(), part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], names=["doc_id", "text_score", "meta_score", "score"])
+        return p(odds[0]), p(odds[1]), p(odds[0] + odds[1] - self.prior)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places and values of the text's features that are not 0, and the metadata's, as bytes."""
+    """The places and values of the text's features that are not 0, as bytes."""
     for rows in slices(batches, "text"):
         for k in range(0, rows.num_rows, 500):
             part = rows.slice(k, 500)
-            text = text_features(part.column("text")).astype(np.float32)
-            meta = meta_features(part.column("source").to_pylist(), part.column("lang").to_pylist(), part.column("text")).astype(np.float32)
+            text = text_features(part.column("text")).astype(np.float16)
             at = [np.flatnonzero(x) for x in text]
-            found = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for x, i in zip(text, at, strict=True)], [x.tobytes() for x in meta])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "content", "quality")), *(pa.array(x, pa.binary()) for x in found)], names=["doc_id", "content", "quality", "at", "value", "meta"])
+            found = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for x, i in zip(text, at, strict=True)])
+            names = ["doc_id", "content", "source", "lang", "n_chars"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), *(pa.array(x, pa.binary()) for x in found)], names=[*names, "at", "value"])
+
 
+def _both(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both views."""
+    text = np.zeros((rows.num_rows, HASHED + _SHAPES), np.float32)
+    for x, at, value in zip(text, rows.column("at").to_pylist(), rows.column("value").to_pylist(), strict=True):
+        x[np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
+    return text, meta_features(*(rows.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
 
-def _sample(docs: DataFrame, keys: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views' features and the labels of the first ``limit`` distinct rows of ``keys`` (doc_id, content, quality) by a hash of doc_id.
 
-    Keys alone are joined and ordered; texts become features where they are read,
-    and what comes to the driver is those of ``limit`` documents.
+def _score(batches: Iterator[pa.RecordBatch], model: CoTrained | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            found = (np.full(part.num_rows, 0.5),) * 3 if model is None else model.scores(*_both(part))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.astype(float)) for x in found)], names=["doc_id", "text_score", "meta_score", "score"])
+
+
+def _surest(batches: Iterator[pa.RecordBatch], views: list[Logistic], counts: tuple[int, int], known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of a task's documents, the ``counts`` good and bad ones that each view is surest of, one of each content, with the view and its log odds."""
+    held: dict[tuple[int, int], pa.Table] = {}
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            content = part.column("content").to_numpy(zero_copy_only=False)
+            for view, x in enumerate(_both(part)):
+                odds = views[view].odds(x).astype(float)
+                for good in (0, 1):
+                    at = np.flatnonzero((odds > 1 if good else odds < -1) & ~np.isin(content, known[1 - view]))
+                    if not len(at):
+                        continue
+                    new = pa.Table.from_batches([part.take(pa.array(at))]).append_column("view", pa.array(np.full(len(at), view, np.int32))).append_column("odds", pa.array(odds[at]))
+                    new = pa.concat_tables([held[view, good], new]) if (view, good) in held else new
+                    new = new.sort_by([("odds", "descending" if good else "ascending"), ("content", "ascending"), ("doc_id", "ascending")])
+                    first = np.sort(np.unique(new.column("content").to_numpy(), return_index=True)[1])[: counts[1 - good]]
+                    held[view, good] = new.take(pa.array(first))
+    for table in held.values():
+        yield from table.to_batches()
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """A table of both views' features of every row of ``docs`` (doc_id, text, source, lang, n_chars); equal texts, sources, languages and lengths have equal ``content``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")], F.col("n_chars").cast("double").alias("n_chars"))
+    rows = rows.select("doc_id", F.xxhash64("text", "source", "lang", "n_chars").alias("content"), "source", "lang", "n_chars", "text")
+    return save(rows.mapInArrow(_featured, _COLUMNS), "features")
+
+
+def train(table: DataFrame, labels: DataFrame) -> CoTrained | None:
+    """From ``features`` and ``labels`` (doc_id, quality). None if there are not labels of both kinds.
+
+    ``LABELLED`` distinct labelled documents at most are learned from, the first
+    by a hash of doc_id; of contradicting labels the lower one counts. Each round
+    looks at all other documents and brings ``2 * ADDED`` at most to the driver.
     """
-    chosen = keys.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(limit)
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "content"])  # ``limit`` rows at most
-    rows = rows.select("doc_id", "content", "quality", "source", "lang", "text")
-    rows = rows.mapInArrow(_featured, "doc_id long, content long, quality int, at binary, value binary, meta binary").dropDuplicates(["doc_id", "content"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow().to_pylist()
-    text = np.zeros((len(rows), HASHED + _SHAPES), np.float32)
-    for x, row in zip(text, rows, strict=True):
-        x[np.frombuffer(row["at"], np.uint16)] = np.frombuffer(row["value"], np.float32)
-    meta = np.array([np.frombuffer(row["meta"], np.float32) for row in rows], np.float32).reshape(len(rows), _META)
-    return text, meta, np.array([row["quality"] if row["quality"] is not None else -1 for row in rows], float)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """None if there are not labels of both kinds. Features of ``LABELLED`` and ``POOL`` documents at most come to the driver; a repeated row counts once."""
-    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
-    docs = docs.withColumn("content", F.xxhash64("text", "source", "lang"))
-    keys = docs.select("doc_id", "content")
-    text, meta, y = _sample(docs, keys.join(labels, "doc_id"), LABELLED)
-    if len(np.unique(y)) < 2:
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    keys = table.where("doc_id is not null").select("doc_id", "content").join(labels, "doc_id").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("quality").alias("quality"))
+    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(LABELLED)
+    rows = table.join(F.broadcast(keys), ["doc_id", "content"]).dropDuplicates(["doc_id", "content"])  # LABELLED rows at most
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow()
+    y = rows.column("quality").to_numpy().astype(float)
+    if len(np.unique(y)) < 2 or len(np.unique(y[np.arange(len(y)) % 4 > 0])) < 2:
         return None
-    pool_text, pool_meta, _ = _sample(docs, keys.join(labels, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), POOL)
-    return CoTrained(text, meta, y, np.arange(len(y)) % 4 == 0, pool_text, pool_meta)
-
-
-def classify(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """``doc_id, text_score, meta_score, score, keep`` for every row of ``docs`` (doc_id, text, source, lang).
-
-    Null is an empty text, and a source or language of its own. Without labels of
-    both kinds all scores are 0.5. Rows repeat as they do; other columns are not
-    looked at.
+    model = CoTrained(*_both(rows), y)
+    known = [rows.column("content").to_numpy()] * 2
+    counts = (round(ADDED * model.share), round(ADDED * (1 - model.share)))
+    for _ in range(ROUNDS):
+        found = save(table.mapInArrow(partial(_surest, views=model.views, counts=counts, known=known), _COLUMNS + ", view int, odds double"), "surest")
+        for view in (0, 1):
+            for good in (0, 1):
+                own = found.where((F.col("view") == view) & ((F.col("odds") > 0) == bool(good))).dropDuplicates(["content"])
+                own = own.orderBy(F.desc("odds") if good else F.asc("odds"), "content").limit(counts[1 - good]).toArrow()
+                if own.num_rows:
+                    model.give(1 - view, _both(own)[1 - view], np.full(own.num_rows, float(good)))
+                    known[1 - view] = np.concatenate([known[1 - view], own.column("content").to_numpy()])
+        drop(found)
+        model.fit()
+    model.finish()
+    return model
+
+
+def classify(table: DataFrame, model: CoTrained | None) -> DataFrame:
+    """``doc_id, text_score, meta_score, score, keep`` for every row of ``features``.
+
+    Null is an empty text, and a source, language or length of its own; all of a
+    long text counts. Without labels of both kinds all scores are 0.5. Rows repeat
+    as they do, an empty table gives an empty one; other columns are not looked at.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
-    found = rows.mapInArrow(partial(_score, model=model), "doc_id long, text_score double, meta_score double, score double")
+    found = table.mapInArrow(partial(_score, model=model), "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= KEPT)
 
 
 def op2_cotrained_quality(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")))
+    table = features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classify(table, train(table, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")))
 
 
 QUERIES: dict[str, Callable] = {"op2_cotrained_quality": op2_cotrained_quality}
