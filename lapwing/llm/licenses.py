@@ -5,8 +5,8 @@ are words that license texts are made of: a stretch of the text fits if its
 share of equal words in order is ``CONFIRMED`` or more. Of stretches that meet,
 the one with most equal words beyond that share is kept. A stretch is compressed
 with each template as zstandard raw dictionary and without one; what a template
-saves, as a share, ranks the templates, and the license has to be among the
-first. Each stretch kept is reported with its span and with the words that it
+saves, as a share, ranks the templates, and any that saves enough is confirmed.
+Each stretch kept is reported with its span and with the words that it
 adds and lacks. A stretch inside a longer sentence or line has to name the
 license, if the statement does.
 """
@@ -62,8 +62,8 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 }
 
-#: Least share of a stretch's bytes that a template has to save; least share of equal words; templates that a stretch can be of.
-SAVED, CONFIRMED, RANKED = 0.2, 0.75, 3
+#: Least share of a stretch's bytes that a template has to save; least share of equal words.
+SAVED, CONFIRMED = 0.2, 0.75
 
 _MARK = re.compile(r"(?i)licen[sc]e|copyright|warrant|redistribut|permission is|sublicense|merchantab|\bspdx\b|without modification|source code form|creative commons")
 _END = re.compile(r"[.!?:;\n]")
@@ -210,7 +210,7 @@ def _stretches(text: str, spans: list[tuple[int, int]], words: np.ndarray, marks
                 a, b = a + at, b + at
                 if upto[a] == upto[b] or x.names and not np.isin(words[a:b], x.names).any() and not all(map(ends, widened(x, a, b))):
                     continue
-                saved = next((s for s, k in rank(within(a, b))[:RANKED] if k == x.license), 0.0)
+                saved = next((s for s, k in rank(within(a, b)) if k == x.license), 0.0)
                 if saved >= SAVED:
                     fits.append((_EACH * len(x.words) - score, -saved, x.license, a, b, n))
     kept, left = [], []
@@ -258,8 +258,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, found`` for every row of ``docs`` (doc_id, text): an array of license, start, end (code points), saved, equal_words, added, lacking.
 
-    Null, empty and unlicensed texts have an empty array; rows repeat as they do;
-    other columns are not looked at.
+    Null, empty and unlicensed texts have an empty array, and all of a long text
+    is looked at; of licenses that fit one stretch equally well the one that saves
+    more is given, then the first by name. Rows repeat as they do, an empty table
+    gives an empty one; other columns are not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, found array<struct<license: string, start: long, end: long, saved: double, equal_words: double, added: array<string>, lacking: array<string>>>")

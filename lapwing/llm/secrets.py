@@ -198,8 +198,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` (kind, start, end; code points, end exclusive) for every row of ``docs`` (doc_id, text).
 
-    Null is an empty text, which has no spans; rows repeat as they do; other
-    columns are not looked at.
+    Null is an empty text, which has no spans, and all of a long text is looked
+    at; spans of one start stand in the order of ``KINDS``. Rows repeat as they
+    do, an empty table gives an empty one; other columns are not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
