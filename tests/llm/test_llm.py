@@ -69,12 +69,32 @@ def test_signatures_meet():
             for _ in range(20):
                 a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
                 gone = int(rng.integers(0, size * (q - p) // q + 1))
-                b = np.sort(np.concatenate([a[gone:], rng.integers(0, 2**63, 0).astype(np.uint64)]))
+                new = int(rng.integers(0, size * (q - p) // (q + p) + 1))  # some replaced, some only gone
+                b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, min(new, gone)).astype(np.uint64)]))
                 same = len(np.intersect1d(a, b))
                 if q * same >= p * (len(a) + len(b) - same):
                     assert np.intersect1d(partenum.signatures(a, p, q, n2, k2), partenum.signatures(b, p, q, n2, k2)).size
 
 
+def test_words_of_one_polynomial_hash(spark):
+    """The Thue-Morse word and its complement, which every polynomial modulo 2^64 takes for one."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in partenum.jaccard_components(docs(spark, [word, other, f"{word} x y z", f"{other} x y z", word.upper()])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+def test_maps_bound_differences():
+    rng = np.random.default_rng(2)
+    for size in (1, 20, 31, 33, 500):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 10 :], rng.integers(0, 2**63, size // 8).astype(np.uint64)]))
+        x = partenum._aligned([partenum.parity(a), partenum.parity(b)])
+        assert np.bitwise_count(x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 103), (103, 101), (103, 103), (None, 5)] + [(200, k) for k in range(300, 380)]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -107,7 +127,7 @@ def test_random_access(bits):
 
 def test_decontamination(spark, monkeypatch):
     items = [(1, " ".join(WORDS[3:20])), (2, "Short, item!"), (3, None), (4, " ... "), (None, LONG), (5, "É-tude"), (6, " ".join(WORDS[3:20])), (7, "a b c d e f a b c d e f")]
-    table = docs(spark, [*ODD, "so short item it is", "é tude x", "short. item short item", " ".join(WORDS[5:15])])
+    table = docs(spark, [*ODD, "so short item it is", (3, "short item"), " ".join(WORDS[:40] + WORDS[3:19]), "é tude x", "short. item short item", " ".join(WORDS[5:15])])
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -125,10 +145,11 @@ def test_decontamination(spark, monkeypatch):
                         hit |= set(range(i, i + len(window)))
                         found.add(str(item))
         want.append((r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    for block in (decontam.BLOCK_BYTES, 30):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    for slots in (decontam.SLOTS, 1):  # a bitmap that holds nearly everything, too
+        monkeypatch.setattr(decontam, "SLOTS", slots)
         got = [tuple(r)[:6] for r in decontam.contamination(table, benchmark).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+    assert decontam.contamination(table.limit(0), benchmark).count() == 0
     assert decontam.contamination(table, benchmark.limit(0)).where("contaminated").count() == 0
 
 
@@ -151,6 +172,10 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in langid.identify(table, langid.train(table)).collect()}
     assert all(got[r[0]].lang_pred == r[2] and 0 <= got[r[0]].score <= 1 for r in rows[:120])
     assert (got[500].lang_pred, got[501].lang_pred, got[502].lang_pred) == ("und", "und", "fr")
+    assert langid.identify(table.limit(0), langid.train(table)).count() == 0
+    many = spark.createDataFrame(rows + [(1000 + k, "zz zz", "fr", "s", 1, "x", 1, "y") for k in range(1000)] + [(9000, texts["fr"] * 3000, "fr", "s", 1, "x", 1, "y")], DOCS)
+    got = {r.doc_id: r for r in langid.identify(many, langid.train(many)).collect()}  # a text repeated often is learned once
+    assert all(got[r[0]].lang_pred == r[2] for r in rows[:120]) and got[9000].lang_pred == "fr"
     empty = langid.train(table.limit(0))
     assert {r.lang_pred for r in langid.identify(table, empty).collect()} == {"und"}
 
@@ -275,9 +300,12 @@ def test_quality(spark):
     rows = [(k, "the quick brown fox and a lazy dog went home, slowly. " * 4 if k % 3 else "BUY!! NOW!! CHEAP!! " * 12, "en", f"s{k % 5}", 1, "x", 1, "y") for k in range(300)] + [(900, None, None, None, None, None, None, None)]
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300, 2)] + [(None, 1), (5000, 0)], "doc_id long, quality int")
     table = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r for r in quality.classify(table, quality.train(table, labels)).collect()}
+    own = quality.features(table)
+    got = {r.doc_id: r for r in quality.classify(own, quality.train(own, labels)).collect()}
     assert all(got[k].keep == (k % 3 > 0) for k in range(300)) and 0 <= got[900].score <= 1
-    assert {r.score for r in quality.classify(table, quality.train(table, labels.limit(0))).collect()} == {0.5}
+    assert {r.score for r in quality.classify(own, quality.train(own, labels.limit(0))).collect()} == {0.5}
+    none = quality.features(table.limit(0))
+    assert quality.classify(none, quality.train(none, labels)).count() == 0
 
 
 def test_pipeline(spark):
