@@ -59,9 +59,11 @@ def turnout_topk(results: DataFrame) -> DataFrame:
     """
     fin = results.where("seconds is not null")
     editions = fin.groupBy("race_id").agg(F.min("day").alias("at"), F.countDistinct("runner_id").alias("field"))
-    days = editions.select("at").distinct()
-    finishes = fin.groupBy("runner_id", "day").agg(F.count("*").alias("c"))
-    pool = days.join(finishes, (F.col("day") < F.col("at")) & (F.col("day") >= F.col("at") - RECENT_DAYS)).groupBy("at", "runner_id").agg(F.sum("c").alias("c"))
+    # A window meets the spans of its own length that it begins and ends in: two of them, joined by number, then cut exactly.
+    span = lambda day: F.floor(day / F.lit(RECENT_DAYS))
+    days = editions.select("at").distinct().withColumn("span", F.explode(F.array_distinct(F.array(span(F.col("at") - RECENT_DAYS), span(F.col("at") - 1)))))
+    finishes = fin.groupBy("runner_id", "day").agg(F.count("*").alias("c")).withColumn("span", span(F.col("day")))
+    pool = days.join(finishes, "span").where((F.col("day") < F.col("at")) & (F.col("day") >= F.col("at") - RECENT_DAYS)).groupBy("at", "runner_id").agg(F.sum("c").alias("c"))
     ranked = pool.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("c"), "runner_id")))
     there = fin.select("race_id", "runner_id").distinct()
     named = editions.join(ranked, "at").where("k <= field").select("race_id", "runner_id", F.lit(1).alias("named"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions import printed
+from lapwing.sources.shared import drop, save
 
 ROUNDS = 30
 MAX_TREND = 0.05
-#: Groups whose effects the driver may hold.
-MAX_GROUPS = 100_000
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,8 +65,6 @@ def resolve(results: DataFrame) -> DataFrame:
 
 def town_switches(resolved: DataFrame, results: DataFrame) -> DataFrame:
     """``runner, finishes, switches``: how often a person's printed town changed; more than one change hints at two people."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("runner").orderBy("race_date", "race_id", "entry_id")
     rows = resolved.join(results.select("entry_id", "race_date", "race_id", "seconds", printed.town_key(F.col("hometown")).alias("town")), "entry_id")
     last = F.last(F.nullif("town", F.lit("")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -78,30 +75,28 @@ def two_way(rows: DataFrame, group: str, rounds: int = ROUNDS) -> DataFrame:
     """``group, finishes, effect`` from rows (runner_id, <group>, year, y).
 
     Alternates, ``rounds`` times: a level and a clipped yearly slope for every
-    runner given the groups' effects, then the groups' mean residuals, centred on
-    all rows. Only the effects, of ``MAX_GROUPS`` groups at most, pass the driver;
-    runners' sums stay where their rows are dealt. Runners need two rows or more.
+    runner given the groups' effects, then the groups' mean residuals; at the end
+    they are centred on all rows. Rows are summed up by runner and group once, and
+    the rounds read these sums; effects are a table of any size. Runners need two
+    rows or more.
     """
-    spark = rows.sparkSession
-    rows = rows.select("runner_id", F.col(group).alias("g"), "year", "y").where("y is not null and runner_id is not null")
+    rows = rows.select("runner_id", F.col(group).cast("string").alias("g"), "year", "y").where("y is not null and runner_id is not null and g is not null")
     stats = rows.groupBy("runner_id").agg(F.min("year").alias("start"), F.count("*").alias("n")).where("n >= 2")
-    rows = rows.join(stats, "runner_id").withColumn("x", (F.col("year") - F.col("start")).cast("double")).drop("year", "start").repartition("runner_id").persist()
-    sums = rows.groupBy("runner_id").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx")).persist()
-    sizes = rows.groupBy("g").agg(F.count("*").alias("finishes")).limit(MAX_GROUPS + 1).collect()
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    sizes = {r["g"]: r["finishes"] for r in sizes}
-    effects = dict.fromkeys(sizes, 0.0)
-    for _ in range(rounds if sizes else 0):
-        table = F.broadcast(spark.createDataFrame(list(effects.items()), "g string, effect double"))
-        now = rows.join(table, "g").withColumn("r", F.col("y") - F.col("effect"))
-        fits = now.groupBy("runner_id").agg(F.count("*").alias("k"), F.sum("r").alias("sy"), F.sum(F.col("x") * F.col("r")).alias("sxy")).join(sums, "runner_id")
-        spread = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")
-        slope = F.when(spread > 1e-9, F.greatest(F.least((F.col("k") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread, F.lit(MAX_TREND)), F.lit(-MAX_TREND))).otherwise(0.0)
-        fits = fits.withColumn("slope", slope).select("runner_id", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("k")).alias("level"))
-        means = rows.join(fits, "runner_id").groupBy("g").agg(F.avg(F.col("y") - F.col("level") - F.col("slope") * F.col("x")).alias("e")).collect()
-        centre = sum(r["e"] * sizes[r["g"]] for r in means) / sum(sizes.values())
-        effects = {r["g"]: r["e"] - centre for r in means}
-    rows.unpersist()
-    sums.unpersist()
-    return spark.createDataFrame([(g, sizes[g], e) for g, e in effects.items()], f"{group} string, finishes long, effect double")
+    rows = rows.join(stats.drop("n"), "runner_id").withColumn("x", (F.col("year") - F.col("start")).cast("double"))
+    cells = rows.groupBy("runner_id", "g").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    cells = cells.repartition("runner_id").persist()
+    effects = save(cells.groupBy("g").agg(F.sum("n").alias("finishes"), F.lit(0.0).alias("effect")).coalesce(1), "effects")
+    over = lambda c: F.sum(c).over(Window.partitionBy("runner_id"))
+    e = F.col("effect")
+    for _ in range(rounds):
+        now = cells.join(effects.drop("finishes"), "g").select("g", "n", "sx", "sy", over(F.col("n")).alias("k"), over(F.col("sx")).alias("x"), over(F.col("sxx")).alias("xx"), over(F.col("sy") - F.col("n") * e).alias("r"), over(F.col("sxy") - F.col("sx") * e).alias("xr"))
+        spread = F.col("k") * F.col("xx") - F.col("x") * F.col("x")
+        now = now.withColumn("slope", F.when(spread > 1e-9, F.greatest(F.least((F.col("k") * F.col("xr") - F.col("x") * F.col("r")) / spread, F.lit(MAX_TREND)), F.lit(-MAX_TREND))).otherwise(0.0))
+        level = (F.col("r") - F.col("slope") * F.col("x")) / F.col("k")
+        means = now.groupBy("g").agg(F.sum("n").alias("finishes"), (F.sum(F.col("sy") - F.col("n") * level - F.col("slope") * F.col("sx")) / F.sum("n")).alias("effect"))
+        means = save(means.coalesce(1), "effects")
+        drop(effects)
+        effects = means
+    cells.unpersist()
+    centre = effects.agg(F.sum(F.col("effect") * F.col("finishes")) / F.sum("finishes")).first()[0]
+    return effects.select(F.col("g").alias(group), "finishes", (F.col("effect") - F.lit(centre)).alias("effect"))

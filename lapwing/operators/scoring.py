@@ -56,13 +56,34 @@ def band_of(distance: Column) -> Column:
     return out
 
 
+def order_statistics(rows: DataFrame, by: str, value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """``by, n`` and, for each name in ``ranks``, the value of that rank from below (1-based; an expression of ``n``).
+
+    Values are counted in buckets between each group's limits; running counts
+    tell the bucket of each rank, and only that bucket's values are ordered, so no
+    task sees a group. Of a bucket, equal values count as one row.
+    """
+    rows = rows.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).where("v is not null")
+    limits = rows.groupBy("by").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    step = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
+    rows = rows.join(limits.select(F.col("by").alias("b"), "low", "high"), F.col("by").eqNullSafe(F.col("b"))).select("by", "v", step.alias("bucket"))
+    upto = F.sum("c").over(Window.partitionBy("by").orderBy("bucket"))
+    counts = rows.groupBy("by", "bucket").agg(F.count("*").alias("c")).withColumn("upto", upto)
+    wanted = limits.select(F.col("by").alias("b"), "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("long").alias("rank")) for k, v in ranks.items()])).alias("w")).select("b", "n", "w.*")
+    where = counts.join(wanted, F.col("by").eqNullSafe(F.col("b"))).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+    where = where.select("b", F.col("bucket").alias("at"), "name", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("inside"))
+    few = rows.groupBy("by", "bucket", "v").agg(F.count("*").alias("m")).join(where.select("b", "at").distinct(), F.col("by").eqNullSafe(F.col("b")) & (F.col("bucket") == F.col("at")), "left_semi")
+    few = few.withColumn("last", F.sum("m").over(Window.partitionBy("by", "bucket").orderBy("v")))
+    found = few.join(where, F.col("by").eqNullSafe(F.col("b")) & (F.col("bucket") == F.col("at"))).where((F.col("inside") <= F.col("last")) & (F.col("inside") > F.col("last") - F.col("m")))
+    return found.groupBy(F.col("by").alias(by)).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
+
+
 def spread(rows: DataFrame, predicted: str, by: Column) -> DataFrame:
     """Median miss and the floor(0.9 n)-th one from below (an order statistic, not interpolated)."""
     own = rows.where(F.col(predicted).isNotNull()).select(by.alias("band"), (F.abs(F.col(predicted) - F.col("seconds")) / 60).alias("miss"))
-    w = Window.partitionBy("band")
-    own = own.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("miss"))})
-    at = F.least(F.floor(F.col("n") * F.lit(0.9)), F.col("n") - 1) + 1
-    return own.groupBy("band").agg(F.count("*").alias("runners"), F.round(F.percentile("miss", F.lit(0.5)), 6).alias("median_miss"), F.round(F.max(F.when(F.col("k") == at, F.col("miss"))), 6).alias("p90_miss"))
+    n = F.col("n")
+    found = order_statistics(own, "band", "miss", {"one": F.floor((n + 1) / 2), "two": F.floor(n / 2) + 1, "p90": F.least(F.floor(n * F.lit(0.9)), n - 1) + 1})
+    return found.select("band", n.alias("runners"), F.round((F.col("one") + F.col("two")) / 2, 6).alias("median_miss"), F.round("p90", 6).alias("p90_miss"))
 
 
 def field_position(rows: DataFrame) -> DataFrame:
@@ -104,8 +125,8 @@ def bootstrap(rows: DataFrame, unit: str, value: Column, by: str, draws: int = 4
     """
     units = rows.groupBy(by, unit).agg(F.sum(value).alias("total"), F.count(value).alias("n")).where("n > 0")
     drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    weight = poisson(uniform(F.col("draw").cast("string"), F.col(unit).cast("string")))
-    means = drawn.groupBy(by, "draw").agg((F.sum(weight * F.col("total")) / F.nullif(F.sum(weight * F.col("n")), F.lit(0))).alias("mean"))
+    drawn = drawn.select(by, "draw", "total", "n", uniform(F.col("draw").cast("string"), F.col(unit).cast("string")).alias("u")).withColumn("weight", poisson(F.col("u")))
+    means = drawn.groupBy(by, "draw").agg((F.sum(F.col("weight") * F.col("total")) / F.nullif(F.sum(F.col("weight") * F.col("n")), F.lit(0))).alias("mean"))
     limits = means.groupBy(by).agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
     return units.groupBy(by).agg(F.round(F.sum("total") / F.sum("n"), 6).alias("point"), F.sum("n").alias("n")).join(limits, by)
 
@@ -158,22 +179,32 @@ def intervals(rows: DataFrame, width: float = 0.1) -> DataFrame:
     return out.withColumn("score", F.greatest(F.log("low") - F.log("seconds"), F.log("seconds") - F.log("high")))
 
 
-def rolling_thresholds(own: DataFrame, level: float = LEVEL, least: int = CALIBRATION) -> DataFrame:
+def rolling_thresholds(own: DataFrame, level: float = LEVEL, least: int = CALIBRATION, buckets: int = 512) -> DataFrame:
     """``stratum, race_date, pool, threshold``: for each date the ceil((n + 1) level)-th smallest score of strictly earlier dates; null under ``least`` scores, infinite beyond them.
 
-    Dates are joined with earlier scores of their stratum on ``<``, and the order
-    statistic is read off a running count over distinct scores, so no pool is
-    gathered into one row.
+    Scores are counted by date and bucket (of ``buckets`` between a stratum's
+    limits), and the counts summed up over earlier dates and then over buckets,
+    which gives the bucket that holds each date's order statistic. Only the scores
+    of that bucket are joined with the date, so dates never meet whole pools.
     """
-    dates = own.select("stratum", "race_date").distinct()
-    scores = own.groupBy(F.col("stratum").alias("s"), F.col("race_date").alias("d"), "score").agg(F.count("*").alias("c"))
-    pool = dates.join(scores, (F.col("stratum") == F.col("s")) & (F.col("d") < F.col("race_date"))).groupBy("stratum", "race_date", "score").agg(F.sum("c").alias("c"))
+    own = own.select("stratum", "race_date", "score")
+    limits = own.groupBy("stratum").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    step = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
+    scores = own.join(limits, "stratum").select("stratum", "race_date", step.alias("bucket"), "score").groupBy("stratum", "race_date", "bucket", "score").agg(F.count("*").alias("c"))
+    counts = scores.groupBy("stratum", "race_date", "bucket").agg(F.sum("c").alias("c"))
+    dates, places = counts.select("stratum", "race_date").distinct(), counts.select("stratum", "bucket").distinct()
+    grid = dates.join(places, "stratum").join(counts, ["stratum", "race_date", "bucket"], "left")
+    earlier = F.coalesce(F.sum("c").over(Window.partitionBy("stratum", "bucket").orderBy("race_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     key = Window.partitionBy("stratum", "race_date")
-    pool = pool.withColumns({"upto": F.sum("c").over(key.orderBy("score")), "n": F.sum("c").over(key)})
-    wanted = F.ceil((F.col("n") + 1) * F.lit(level))
-    found = pool.groupBy("stratum", "race_date").agg(F.max("n").alias("pool"), F.min(F.when(F.col("upto") >= wanted, F.col("score"))).alias("at"))
-    cut = F.when(F.col("pool") >= least, F.coalesce("at", F.lit(float("inf"))))
-    return dates.join(found, ["stratum", "race_date"], "left").select("stratum", "race_date", F.coalesce("pool", F.lit(0)).alias("pool"), cut.alias("threshold"))
+    grid = grid.select("stratum", "race_date", "bucket", earlier.alias("e")).withColumns({"upto": F.sum("e").over(key.orderBy("bucket")), "pool": F.sum("e").over(key)})
+    wanted = F.ceil((F.col("pool") + 1) * F.lit(level))
+    pools = grid.groupBy("stratum", "race_date").agg(F.max("pool").alias("pool"), F.min(F.when((F.col("upto") >= wanted) & (F.col("pool") >= least), F.struct("bucket", (wanted - F.col("upto") + F.col("e")).alias("inside")))).alias("at"))
+    inside = pools.where("at is not null").select("stratum", F.col("race_date").alias("date"), "at.bucket", "at.inside").join(scores, ["stratum", "bucket"]).where("race_date < date")
+    inside = inside.groupBy("stratum", "date", "inside", "score").agg(F.sum("c").alias("c"))
+    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("stratum", "date").orderBy("score"))).where("upto >= inside")
+    found = inside.groupBy("stratum", F.col("date").alias("race_date")).agg(F.min("score").alias("score"))
+    cut = F.when(F.col("pool") >= least, F.coalesce("score", F.lit(float("inf"))))
+    return pools.join(found, ["stratum", "race_date"], "left").select("stratum", "race_date", "pool", cut.alias("threshold"))
 
 
 def coverage(own: DataFrame) -> DataFrame:

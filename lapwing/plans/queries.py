@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.functions import running
+from lapwing.functions import printed, running
 from lapwing.operators import asof, features, field, identity, publish, scoring
 from lapwing.plans import archive, reading  # noqa: F401  register their queries
 from lapwing.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwing.sources.results import results, table
+from lapwing.sources.shared import new_path
 from lapwing.streaming import events as streaming
 
 _EXPONENT = "(CASE WHEN {0} < 2000 THEN 1.08 WHEN {0} < 3000 THEN 1.075 WHEN {0} < 4828.032 THEN 1.07 ELSE 1.06 END)::DOUBLE"
@@ -76,9 +74,13 @@ def previous_edition(spark, sf_dir):
     return rows.select("race_id", "finishers", F.round("median", 6).alias("median"), "previous_id", "previous_finishers", F.round("previous_median", 6).alias("previous_median"))
 
 
-@query(" one AS (SELECT 0::BIGINT AS leaks) SELECT leaks FROM one")
+@query(_LATEST + """, planted AS (SELECT r.entry_id, r.race_date, CASE WHEN r.entry_id % 5 = 0 THEN r.race_date ELSE l.dt END AS last, first_date FROM results r LEFT JOIN latest ON target = r.entry_id)
+SELECT count(*) AS leaks FROM planted WHERE last >= race_date OR first_date >= race_date""")
 def leakage_check(spark, sf_dir):
-    return asof.leaks(asof.with_history(results(spark, sf_dir)))
+    """Counts the leaks of a history into which every fifth entry's own day was put."""
+    rows = asof.with_history(results(spark, sf_dir))
+    last = F.when(F.col("entry_id") % 5 == 0, F.struct(F.col("race_date").alias("race_date"))).otherwise(F.struct(F.col("latest.race_date").alias("race_date")))
+    return asof.leaks(rows.withColumn("latest", last))
 
 
 _VDOT = "(-4.60::DOUBLE + 0.182258::DOUBLE * ({d} / ({s} / 60.0::DOUBLE)) + 0.000104::DOUBLE * ({d} / ({s} / 60.0::DOUBLE)) * ({d} / ({s} / 60.0::DOUBLE))) / (0.8::DOUBLE + 0.1894393::DOUBLE * exp(-0.012778::DOUBLE * ({s} / 60.0::DOUBLE)) + 0.2989558::DOUBLE * exp(-0.1932605::DOUBLE * ({s} / 60.0::DOUBLE)))"
@@ -92,19 +94,32 @@ def vdot(spark, sf_dir):
     return rows.select("entry_id", F.round(value, 6).alias("vdot"), F.when(value.isNull(), "out of range").alias("reason"))
 
 
-@query()
+def _bisected(v: str, d: str) -> str:
+    """SQL of the minutes at which a fitness covers a distance: 60 halvings in one list."""
+    at = _VDOT.format(d=d, s="(a.lo + a.hi) * 30.0::DOUBLE")
+    ends = [_VDOT.format(d=d, s=f"{60 * m}.0::DOUBLE") for m in (3, 240)]
+    start = "list_transform(range(61), k -> {'lo': 3.0::DOUBLE, 'hi': 240.0::DOUBLE})"
+    step = f"CASE WHEN {at} > {v} THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END"
+    return f"CASE WHEN {ends[0]} >= {v} AND {ends[1]} <= {v} THEN list_reduce({start}, (a, b) -> {step}) END"
+
+
+@query(f""" v AS (SELECT entry_id, seconds, {_VDOT.format(d='distance_m', s='seconds')} AS v FROM results WHERE seconds IS NOT NULL)
+SELECT entry_id, round(seconds, 3) AS seconds, CASE WHEN seconds / 60 BETWEEN 3 AND 240 AND v BETWEEN 20 AND 90 THEN round(seconds, 3) END AS again FROM v""")
 def race_time_bisection(spark, sf_dir):
+    """From a time to its fitness and back again: the same time."""
     rows = results(spark, sf_dir).where("seconds is not null")
     value = running.vdot(F.col("distance_m"), F.col("seconds"))
-    return rows.select("entry_id", F.round("seconds", 4).alias("seconds"), F.round(running.race_time(value, F.col("distance_m")), 4).alias("again"))
+    return rows.select("entry_id", F.round("seconds", 3).alias("seconds"), F.round(running.race_time(value, F.col("distance_m")), 3).alias("again"))
 
 
-@query()
+@query(f""" h AS (SELECT target, max(CASE WHEN seconds / 60 BETWEEN 3 AND 240 AND v BETWEEN 20 AND 90 THEN v END) AS best FROM (SELECT target, seconds, {_VDOT.format(d='distance_m', s='seconds')} AS v FROM past WHERE day >= target_day - 548) GROUP BY target
+), b AS (SELECT entry_id, best, {_bisected("best", "distance_m")} AS f FROM results LEFT JOIN h ON target = entry_id WHERE seconds IS NOT NULL)
+SELECT entry_id, round(best, 6) AS best, round((f.lo + f.hi) * 30, 3) AS predicted FROM b""")
 def best_equal_vdot(spark, sf_dir):
     """The best fitness of the recent window, carried to the target's distance; null where nothing is in range."""
     rows = results(spark, sf_dir).withColumn("v", running.vdot(F.col("distance_m"), F.col("seconds")))
     rows = rows.withColumn("best", F.max("v").over(asof.strict(back=asof.RECENT_DAYS))).where("seconds is not null")
-    return rows.select("entry_id", F.round("best", 6).alias("best"), F.round(running.race_time(F.col("best"), F.col("distance_m")), 4).alias("predicted"))
+    return rows.select("entry_id", F.round("best", 6).alias("best"), F.round(running.race_time(F.col("best"), F.col("distance_m")), 3).alias("predicted"))
 
 
 @query(f" x AS (SELECT p_partkey, p_size * 200.0::DOUBLE AS d FROM part) SELECT p_partkey, {_EXPONENT.format('d')} AS exponent, round(1000 * pow(d / 1000, {_EXPONENT.format('d')}), 4) AS seconds FROM x", with_results=False)
@@ -144,9 +159,9 @@ def felt_heat(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(running.felt_heat(F.col("value") / F.lit(16.0), F.least(F.col("value") / F.lit(800.0), F.lit(1.0))), 4).alias("heat"))
 
 
-@query(r""" z AS (SELECT 1) SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM customer""", with_results=False)
+@query(r""" z AS (SELECT 1) SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS key FROM customer""", with_results=False)
 def name_key(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", running.name_key(F.col("c_name")).alias("key"))
+    return table(spark, sf_dir, "customer").select("c_custkey", printed.name_key(F.col("c_name")).alias("key"))
 
 
 @query(_LATEST + """, r AS (SELECT race_id, entry_id, rank() OVER (PARTITION BY race_id ORDER BY seconds) + (count(*) OVER (PARTITION BY race_id, seconds) - 1) / 2 AS a,
@@ -405,14 +420,14 @@ def redact_rows(spark, sf_dir):
 
 
 def _stream_folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 @query(" z AS (SELECT 1) SELECT DISTINCT user_id FROM events", with_results=False)
 def stream_first_seen(spark, sf_dir):
+    """One row for each row that the stream gave: a user given twice would show."""
     stream = streaming.event_stream(spark, f"{sf_dir}/events.parquet")
-    return streaming.run_to_table(streaming.first_seen(stream, "60 days"), "first", _stream_folder(spark)).select("user_id").distinct()
+    return streaming.run_to_table(streaming.first_seen(stream, "60 days"), "first", _stream_folder(spark)).select("user_id")
 
 
 @query(" z AS (SELECT 1) SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL", with_results=False)
