@@ -144,3 +144,26 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op5_decontaminate": op5_decontaminate}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES = {
+    "op5_decontaminate": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), i AS (
+  SELECT item_id::VARCHAR AS item, w, least(10, len(w)) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item, s, array_to_string(w[k:k + s - 1], ' ') AS win FROM (SELECT item, w, s, unnest(range(1, len(w) - s + 2)) AS k FROM i)
+), dw AS (
+  SELECT r, k, s, array_to_string(w[k:k + s - 1], ' ') AS win FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS k FROM d, (SELECT DISTINCT s FROM iw) WHERE len(w) >= s)
+), hit AS (
+  SELECT r, k, s, win FROM dw SEMI JOIN iw USING (s, win)
+), places AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + s)) AS p FROM hit) GROUP BY r
+), held AS (
+  SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit JOIN iw USING (s, win) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN held USING (r)
+"""
+}

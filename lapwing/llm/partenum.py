@@ -374,3 +374,23 @@ def op10_partenum_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op10_partenum_jaccard": op10_partenum_jaccard}
+ORACLES = {
+    "op10_partenum_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+)
+SELECT doc_id, coalesce(len(sh), 0)::BIGINT AS n_shingles, coalesce(least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)), doc_id) AS component_id FROM s
+"""
+}
