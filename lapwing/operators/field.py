@@ -50,3 +50,12 @@ def forecast_error(events: DataFrame, least: int = 3) -> DataFrame:
     means = events.groupBy(hour.alias("hour")).agg(F.avg("value").alias("mean"))
     gaps = events.withColumn("hour", hour).join(means, "hour").withColumn("gap", F.col("value") - F.col("mean"))
     return gaps.groupBy("event_type").agg(F.count("*").alias("pairs"), F.round(F.avg("gap"), 6).alias("bias"), F.round(F.stddev_samp("gap"), 6).alias("deviation")).where(F.col("pairs") >= least)
+
+
+def bounds_for(level: float) -> tuple[int, int]:
+    """Places among ``QUANTILES`` of the edges of a central interval."""
+    carried = [round(q, 4) for q in QUANTILES]
+    edges = [round((1 - level) / 2, 4), round((1 + level) / 2, 4)]
+    if missing := set(edges) - set(carried):
+        raise ValueError(f"quantiles not carried: {sorted(missing)}")
+    return carried.index(edges[0]), carried.index(edges[1])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions import printed, running
 from lapwing.operators import asof, features, field, identity, publish, scoring
-from lapwing.plans import archive, reading  # noqa: F401  register their queries
+from lapwing.plans import archive, cards, catalogue, mornings, reading  # noqa: F401  register their queries
 from lapwing.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwing.sources.results import results, table
 from lapwing.sources.shared import new_path
@@ -98,9 +98,9 @@ def _bisected(v: str, d: str) -> str:
     """SQL of the minutes at which a fitness covers a distance: 60 halvings in one list."""
     at = _VDOT.format(d=d, s="(a.lo + a.hi) * 30.0::DOUBLE")
     ends = [_VDOT.format(d=d, s=f"{60 * m}.0::DOUBLE") for m in (3, 240)]
-    start = "list_transform(range(61), k -> {'lo': 3.0::DOUBLE, 'hi': 240.0::DOUBLE})"
+    start = "list_transform(range(61), lambda k: {'lo': 3.0::DOUBLE, 'hi': 240.0::DOUBLE})"
     step = f"CASE WHEN {at} > {v} THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END"
-    return f"CASE WHEN {ends[0]} >= {v} AND {ends[1]} <= {v} THEN list_reduce({start}, (a, b) -> {step}) END"
+    return f"CASE WHEN {ends[0]} >= {v} AND {ends[1]} <= {v} THEN list_reduce({start}, lambda a, b: {step}) END"
 
 
 @query(f""" v AS (SELECT entry_id, seconds, {_VDOT.format(d='distance_m', s='seconds')} AS v FROM results WHERE seconds IS NOT NULL)
