@@ -1,51 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the folder that driver and executors share."""
 
-A table written here cuts the lineage: if an executor is lost, its work is read
-again from the shared folder instead of being computed again from the start.
-"""
+from lapwing.sources.shared import drop, new_path, save, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset: a temporary
-    folder for a local master (as in tests), else one inside the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="lapwing-")
-        else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lapwing"
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that ``save`` returned and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/" in folder and shared_dir(spark).removeprefix("file://").rstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "new_path", "save", "shared_dir"]
