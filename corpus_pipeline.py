@@ -53,6 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id, or of none, are drawn one by one: of those of one source
     and size, as many get each number of copies as were drawn.
     """
+    docs = docs.select(*COLUMNS)
     drawn = save(mixing.mixture(docs).select("doc_id", "source", "size", "copies"), "drawn")
     ids = save(drawn.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("copies").alias("copies")), "ids")
     plain = docs.join(ids.where("doc_id is not null and rows = 1 and copies > 0").select("doc_id", "copies").hint("merge"), "doc_id").select(*COLUMNS, "copies")
