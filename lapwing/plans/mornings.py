@@ -66,10 +66,11 @@ def _winds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 30).alias("route"), F.when(k % 11 > 0, v / 10 * F.sin(F.radians(k % 360))).alias("east"), (v / 10 * F.cos(F.radians(k % 360))).alias("north"), F.when(k % 13 > 0, v / 8).alias("speed"), (k % 25 - 3).alias("temp"), ((k % 7) / F.lit(5.0)).alias("sun"), (F.lit(1000.0) * (k % 20 + 1)).alias("d"))
 
 
-@query(_WINDS + "," + _POINTS + _TERMS + " SELECT event_id, round(exposure, 4) AS exposure, round(net, 4) AS net FROM terms", with_results=False)
+@query(_WINDS + "," + _POINTS + _TERMS + " SELECT event_id, round(round(exposure, 9), 4) AS exposure, round(round(net, 9), 4) AS net FROM terms", with_results=False)
 def wind_on_routes(spark, sf_dir):
     rows = mornings.wind_terms(_winds(spark, sf_dir), _legs(spark, sf_dir))
-    return rows.select("event_id", F.round("exposure", 4).alias("exposure"), F.round("net", 4).alias("net"))
+    # Rounded twice, as sums in another order differ in their last bits, and some values are halves.
+    return rows.select("event_id", *[F.round(F.round(c, 9), 4).alias(c) for c in ("exposure", "net")])
 
 
 @query(_WINDS + "," + _POINTS + _TERMS + """ SELECT event_id, round(coalesce(greatest(0, temp + 2.1::DOUBLE * greatest(0, least(1, sun)) - 12) * (0.002::DOUBLE + 0.001::DOUBLE * ln(d / 5000)) + 0.003::DOUBLE * (exposure - 2) - 0.0005::DOUBLE * net, 0), 6) AS effect,
