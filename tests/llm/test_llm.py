@@ -218,6 +218,32 @@ def test_neighbours(spark):
     assert neighbours.near_vectors(table.limit(0)).count() == 0
 
 
+def test_neighbours_of_several_blocks_and_chunks(spark):
+    """Near copies, pairs about the threshold, very large and very small numbers; 40 dimensions are blocks of 16, 16 and 8."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=40)
+    x = np.concatenate([rng.normal(size=(60, 40)), centre + rng.normal(size=(150, 40)) * rng.choice([0.02, 0.27, 0.35], size=(150, 1)), [centre * 1e200, centre * 1e-200]])
+    table = spark.createDataFrame([(k + 500, [float(v) for v in row], k % 7 // 6, "z") for k, row in enumerate(x)], "vec_id long, embedding array<double>, label int, place string")
+    got = {r.vec_id - 500: (r.n_links, r.component_id - 500) for r in neighbours.near_vectors(table, chunk=32).collect()}
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    label = np.arange(len(x)) % 7 // 6
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.minimum(root, np.where(near, root, len(x)).min(axis=1))
+    assert near.sum() > 2000 and got == {k: (int(near[k].sum()), int(root[k])) for k in range(len(x))}
+
+
+def test_each_near_pair_belongs_to_one_block():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 64))
+    y = x[rng.integers(0, 300, 400)] + rng.normal(size=(400, 64)) * rng.choice([0.01, 0.2, 0.3, 0.4], size=(400, 1))
+    found = [(int(i), int(j)) for b in range(4) for p, q in neighbours.linked(x, y, b, 0.93, False) for i, j in zip(p, q)]
+    cosine = x @ y.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+    assert len(found) == len(set(found)) and set(found) == {(int(i), int(j)) for i, j in zip(*np.nonzero(cosine >= 0.93))}
+
+
 def der(*fields):
     body = b"".join(fields)
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)])) + body
