@@ -18,7 +18,7 @@ BANDS = (0.0, 3000.0, 6000.0, 9000.0, 12000.0, 18000.0, 30000.0, 1e9)
 LEVEL, CALIBRATION = 0.8, 50
 #: Resamples of published intervals; numbers of 64 bits from which on a unit is drawn once, twice and so on.
 DRAWS = 2000
-_CUTS = np.array([int(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)) * 2**53) << 11 for k in range(17)], np.uint64)
+CUTS = np.array([int(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)) * 2**53) << 11 for k in range(17)], np.uint64)
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -99,44 +99,12 @@ def paired(rows: DataFrame, one: str, other: str) -> DataFrame:
     return own.groupBy("stratum").agg(F.count("*").alias("runners"), F.round(F.avg(miss(one) - miss(other)) * 100, 6).alias("gap_points"), F.round(F.avg((miss(one) < miss(other)).cast("double")), 6).alias("won"))
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that the parts alone decide, in any engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
-def poisson(u: Column) -> Column:
-    """How often a row is drawn in a resample of all rows, from a uniform number."""
-    out, total, term = F.lit(7), 0.0, 0.36787944117144233
-    cuts = []
-    for k in range(7):
-        total += term
-        cuts.append((k, total))
-        term /= k + 1
-    for k, cut in reversed(cuts):
-        out = F.when(u < cut, k).otherwise(out)
-    return out
-
-
-def bootstrap(rows: DataFrame, unit: str, value: Column, by: str, draws: int = 40) -> DataFrame:
-    """Mean of ``value`` for each ``by``, with the 2.5 and 97.5 % points over resamples of whole units.
-
-    Units are summed up first, so a resample weighs one row a unit and is summed
-    on the map side; no draw is ever gathered.
-    """
-    units = rows.groupBy(by, unit).agg(F.sum(value).alias("total"), F.count(value).alias("n")).where("n > 0")
-    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawn = drawn.select(by, "draw", "total", "n", uniform(F.col("draw").cast("string"), F.col(unit).cast("string")).alias("u")).withColumn("weight", poisson(F.col("u")))
-    means = drawn.groupBy(by, "draw").agg((F.sum(F.col("weight") * F.col("total")) / F.nullif(F.sum(F.col("weight") * F.col("n")), F.lit(0))).alias("mean"))
-    limits = means.groupBy(by).agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
-    return units.groupBy(by).agg(F.round(F.sum("total") / F.sum("n"), 6).alias("point"), F.sum("n").alias("n")).join(limits, by)
-
-
 def drawn_counts(seeds: np.ndarray, draws: int) -> np.ndarray:
     """How often each unit is in each resample, as Poisson numbers of mean 1 that its seed and the draw alone decide."""
     x = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return np.searchsorted(_CUTS, x ^ (x >> np.uint64(31)), "right")
+    return np.searchsorted(CUTS, x ^ (x >> np.uint64(31)), "right")
 
 
 def _resample(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[pa.RecordBatch]:
@@ -162,16 +130,32 @@ def _resample(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[pa.Reco
     yield from flush()
 
 
-def bootstrap_whole(rows: DataFrame, unit: str, value: Column, by: str, draws: int = DRAWS) -> DataFrame:
-    """As ``bootstrap``, with as many resamples as published intervals have: tasks sum up their units for all draws at once."""
+def bootstrap_whole(rows: DataFrame, unit: str, value: Column, by: str, draws: int = DRAWS, seed: Column | None = None) -> DataFrame:
+    """Mean of ``value`` for each ``by``, with the 2.5 and 97.5 % points over resamples of whole units.
+
+    Units are summed up first, and a task sums up its units for all draws at
+    once, so what is shuffled is one row a task, group and draw. ``seed`` (of a
+    unit; by default a hash of it) decides how often the unit is in each draw.
+    """
+    seed = F.xxhash64(unit) if seed is None else seed
     units = rows.groupBy(F.col(by).cast("string").alias("by"), unit).agg(F.sum(value).cast("double").alias("total"), F.count(value).alias("n")).where("n > 0")
-    sums = units.select("by", F.xxhash64(unit).alias("seed"), "total", "n").mapInArrow(lambda batches: _resample(batches, draws), "by string, draw long, total double, n double")
+    sums = units.select("by", seed.alias("seed"), "total", "n").mapInArrow(lambda batches: _resample(batches, draws), "by string, draw long, total double, n double")
     means = sums.groupBy("by", "draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))
     limits = means.groupBy("by").agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
     points = units.groupBy("by").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("point"), F.sum("n").alias("n")).alias("p")
     return points.join(limits.alias("l"), F.col("p.by").eqNullSafe(F.col("l.by"))).select(F.col("p.by").alias(by), "point", "n", "low", "high")
 
 
+def paired_interval(rows: DataFrame, one: str, other: str, draws: int = DRAWS, seed: Column | None = None) -> DataFrame:
+    """Both models on the runners that both answer: races, runners, mean errors in seconds, and how much larger the first one's error is, in points of a hundredth on the log scale, with its interval over resampled races."""
+    own = rows.where(F.col(one).isNotNull() & F.col(other).isNotNull())
+    miss = lambda c: F.abs(F.log(F.col(c) / F.col("seconds")))
+    own = own.withColumn("gap", miss(one) - miss(other))
+    error = lambda c: F.round(F.avg(F.abs(F.col(c) - F.col("seconds"))), 6)
+    sums = own.groupBy("stratum").agg(F.countDistinct("race_id").alias("races"), F.count("*").alias("runners"), error(one).alias("model_mae"), error(other).alias("other_mae"), F.round(F.avg("gap") * 100, 6).alias("difference"))
+    return sums.join(bootstrap_whole(own, "race_id", F.col("gap") * 100, "stratum", draws, seed).select("stratum", "low", "high"), "stratum")
+
+
 def intervals(rows: DataFrame, width: float = 0.1) -> DataFrame:
     """Raw intervals around ``carry`` and the conformity score of each: how far, in logs, the result lies outside."""
     low, high = F.col("carry") * F.lit(1 - width), F.col("carry") * F.lit(1 + width)

@@ -209,22 +209,46 @@ def paired_error(spark, sf_dir):
     return scoring.paired(_scored(spark, sf_dir), "carry", "median")
 
 
-_POISSON = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate((lambda p: [sum(p[: k + 1]) for k in range(7)])([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720)]))) + " ELSE 7 END"
-_BOOTSTRAP = """, units AS (SELECT stratum, {unit} AS unit, sum({value}) AS total, count({value}) AS n FROM scored GROUP BY ALL HAVING count({value}) > 0
-), drawn AS (SELECT *, ('0x' || substr(md5(draw::VARCHAR || ':' || unit::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM units, range(1, 41) d(draw)
-), means AS (SELECT stratum, draw, sum((""" + _POISSON + """) * total) / nullif(sum((""" + _POISSON + """) * n), 0) AS mean FROM drawn GROUP BY ALL
-), limits AS (SELECT stratum, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY stratum)
+_MASK = "& 18446744073709551615::UHUGEINT"
+_BOOTSTRAP = """, units AS (SELECT stratum, {unit} AS unit, sum({value})::DOUBLE AS total, count({value}) AS n FROM {rows} GROUP BY ALL HAVING count({value}) > 0
+), seeds AS (SELECT *, ('0x' || substr(md5(unit::VARCHAR), 1, 15))::BIGINT::UHUGEINT AS seed FROM units
+), x1 AS (SELECT stratum, total, n, draw, (seed + draw::UHUGEINT * 11400714819323198485::UHUGEINT) {mask} AS x FROM seeds, range(1, 2001) d(draw)
+), x2 AS (SELECT stratum, total, n, draw, (xor(x, x >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) {mask} AS x FROM x1
+), x3 AS (SELECT stratum, total, n, draw, (xor(x, x >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) {mask} AS x FROM x2
+), x4 AS (SELECT stratum, total, n, draw, xor(x, x >> 31::UHUGEINT)::UBIGINT AS x FROM x3
+), drawn AS (SELECT stratum, draw, total, n, {times} AS w FROM x4
+), means AS (SELECT stratum, draw, sum(w * total) / nullif(sum(w * n), 0) AS mean FROM drawn GROUP BY ALL
+), limits AS (SELECT stratum, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY stratum)"""
+_INTERVAL = _BOOTSTRAP + """
 SELECT stratum, round(sum(total) / sum(n), 6) AS point, sum(n)::BIGINT AS n, any_value(low) AS low, any_value(high) AS high FROM units JOIN limits USING (stratum) GROUP BY stratum"""
+_TIMES = " + ".join(f"(x >= {int(c)}::UBIGINT)::INT" for c in scoring.CUTS)
 
 
-@query(_LATEST + _BOOTSTRAP.format(unit="entry_id", value="abs(carry - seconds) / 60"))
+def _bootstrapped(text: str, unit: str, value: str, rows: str = "scored") -> str:
+    return text.format(unit=unit, value=value, rows=rows, mask=_MASK, times=_TIMES)
+
+
+def _seed(unit: str):
+    """A unit's seed, in any engine with md5."""
+    return F.conv(F.substring(F.md5(F.col(unit).cast("string")), 1, 15), 16, 10).cast("long")
+
+
+@query(_LATEST + _bootstrapped(_INTERVAL, "entry_id", "abs(carry - seconds) / 60"))
 def bootstrap_mae_ci(spark, sf_dir):
-    return scoring.bootstrap(_scored(spark, sf_dir), "entry_id", F.abs(F.col("carry") - F.col("seconds")) / 60, "stratum")
+    return scoring.bootstrap_whole(_scored(spark, sf_dir), "entry_id", F.abs(F.col("carry") - F.col("seconds")) / 60, "stratum", seed=_seed("entry_id"))
 
 
-@query(_LATEST + _BOOTSTRAP.format(unit="race_id", value="(abs(carry - seconds) / seconds < 0.1)::INT"))
+@query(_LATEST + _bootstrapped(_INTERVAL, "race_id", "(abs(carry - seconds) / seconds < 0.1)::INT"))
 def cluster_bootstrap_rate(spark, sf_dir):
-    return scoring.bootstrap(_scored(spark, sf_dir), "race_id", (F.abs(F.col("carry") - F.col("seconds")) / F.col("seconds") < 0.1).cast("int"), "stratum")
+    return scoring.bootstrap_whole(_scored(spark, sf_dir), "race_id", (F.abs(F.col("carry") - F.col("seconds")) / F.col("seconds") < 0.1).cast("int"), "stratum", seed=_seed("race_id"))
+
+
+@query(_LATEST + _bootstrapped(", both_ AS (SELECT *, abs(ln(carry / seconds)) - abs(ln(median / seconds)) AS gap FROM scored WHERE carry IS NOT NULL AND median IS NOT NULL)" + _BOOTSTRAP, "race_id", "gap * 100", "both_") + """
+, sums AS (SELECT stratum, count(DISTINCT race_id) AS races, count(*) AS runners, round(avg(abs(carry - seconds)), 6) AS model_mae, round(avg(abs(median - seconds)), 6) AS other_mae, round(avg(gap) * 100, 6) AS difference FROM both_ GROUP BY stratum)
+SELECT s.*, low, high FROM sums s JOIN limits l USING (stratum)""")
+def paired_error_interval(spark, sf_dir):
+    """Two models on the runners that both answer, with the interval over resampled races."""
+    return scoring.paired_interval(_scored(spark, sf_dir), "carry", "median", seed=_seed("race_id"))
 
 
 @query()
@@ -256,15 +280,17 @@ def coverage_by_stratum(spark, sf_dir):
 
 
 def _people(spark, sf_dir):
+    """Customers, whole: each seventh is an entrant, all others are runners; keys grow in number with the table."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 97).cast("string").alias("key"), F.when(F.col("c_custkey") % 11 > 0, F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M")).alias("sex"), F.col("n_name").alias("hometown"))
-    return rows.where("id % 7 = 0"), rows.where("id % 7 <> 0 and id % 97 <> 5 and id % 3 = 0")
+    rows = rows.select(F.col("c_custkey").alias("id"), F.expr("cast(c_custkey div 4 as string)").alias("key"), F.when(F.col("c_custkey") % 11 > 0, F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M")).alias("sex"), F.col("n_name").alias("hometown"))
+    return rows.where("id % 7 = 0"), rows.where("id % 7 <> 0")
 
 
-_LINK = """ people AS (SELECT c_custkey AS id, (c_custkey % 97)::VARCHAR AS key, CASE WHEN c_custkey % 11 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END END AS sex, n_name AS hometown FROM customer JOIN nation ON c_nationkey = n_nationkey
-), pairs AS (SELECT e.id AS entrant_id, r.id AS rid, e.hometown = r.hometown AS near FROM people e LEFT JOIN people r ON e.key = r.key AND r.id % 7 <> 0 AND r.id % 97 <> 5 AND r.id % 3 = 0 AND (e.sex IS NULL OR r.sex IS NULL OR e.sex = r.sex) WHERE e.id % 7 = 0
+_LINK = """ people AS (SELECT c_custkey AS id, (c_custkey // 4)::VARCHAR AS key, CASE WHEN c_custkey % 11 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END END AS sex, n_name AS hometown FROM customer JOIN nation ON c_nationkey = n_nationkey
+), pairs AS (SELECT e.id AS entrant_id, r.id AS rid, e.hometown = r.hometown AS near FROM people e LEFT JOIN people r ON e.key = r.key AND r.id % 7 <> 0 AND (e.sex IS NULL OR r.sex IS NULL OR e.sex = r.sex) WHERE e.id % 7 = 0
 ), picked AS (SELECT entrant_id, CASE WHEN count(rid) = 1 THEN max(rid) WHEN count(rid) FILTER (WHERE near) = 1 THEN max(rid) FILTER (WHERE near) END AS pick, count(rid) AS n FROM pairs GROUP BY entrant_id
-), linked AS (SELECT entrant_id, CASE WHEN n = 0 THEN 'new' WHEN pick IS NULL OR (SELECT count(*) FROM picked o WHERE o.pick = p.pick) > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CASE WHEN (SELECT count(*) FROM picked o WHERE o.pick = p.pick) = 1 THEN pick END AS runner_id FROM picked p)"""
+), claimed AS (SELECT *, count(*) OVER (PARTITION BY pick) AS claims FROM picked
+), linked AS (SELECT entrant_id, CASE WHEN n = 0 THEN 'new' WHEN pick IS NULL OR claims > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CASE WHEN claims = 1 THEN pick END AS runner_id FROM claimed)"""
 
 
 @query(_LINK + " SELECT * FROM linked", with_results=False)
