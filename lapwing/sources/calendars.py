@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lapwing.sources.exports import plain
 
-# Words that say another sport, and words that say track and field.
+# Words that say another sport, words that say track and field, months and their endings.
 OTHER_SPORT = ("trail", "cross[- ]country", "xc", "school")
 TRACK = ("track", "field", "trackfest", "tetrathlons?", "twilight", "clinic", "camp", "games", "indoor", "all[- ]comers", "meet")
+MONTHS = {"jan": "uary", "feb": "ruary", "mar": "ch", "apr": "il", "may": "", "jun": "e", "jul": "y", "aug": "ust", "sep": "tember", "oct": "ober", "nov": "ember", "dec": "ember"}
 UNKNOWN = "no course this project knows is named here"
 
 
@@ -30,8 +31,11 @@ def _family(name: Column, aliases: tuple[tuple[str, str], ...]) -> Column:
 
 def _days(badge: Column, year: Column) -> Column:
     """The days that a badge names (``Fri, Jun 5-Sat, Jun 6``), without those that can't be read. Weekdays aren't looked at."""
-    day = lambda x: F.concat_ws(" ", F.initcap(F.trim(F.regexp_replace(x, "^[^,]*,", ""))), year.cast("string"))
-    return F.array_compact(F.transform(F.split(badge, "-"), lambda x: F.coalesce(F.try_to_date(day(x), "MMMM d yyyy"), F.try_to_date(day(x), "MMM d yyyy"))))
+    named = rf"(?i)^(?:[^,]*,)?\s*({'|'.join(MONTHS)})[a-z]*\s+(\d{{1,2}})\s*$"
+    known = rf"(?i)^(?:[^,]*,)?\s*({'|'.join(m + '(?:' + rest + ')?' for m, rest in MONTHS.items())})\s+\d{{1,2}}\s*$"
+    # The pattern goes first, as a day that can't be parsed costs far more than one that isn't tried.
+    day = lambda x: F.when(x.rlike(known), F.try_to_date(F.concat_ws(" ", F.initcap(F.regexp_extract(x, named, 1)), F.regexp_extract(x, named, 2), year.cast("string")), "MMM d yyyy"))
+    return F.array_compact(F.transform(F.split(badge, "-"), day))
 
 
 def calendar(pages: DataFrame, aliases: tuple[tuple[str, str], ...]) -> DataFrame:
