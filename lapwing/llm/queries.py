@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lapwing.llm import chat, decontam, digestruns, langid, licenses, mixing, neighbours, packing, partenum, quality, secrets
+from lapwing.llm import chat, decontam, digestruns, langid, licenses, merkle, mixing, neighbours, packing, partenum, quality, resampling, secrets
 
-_MODULES = (secrets, quality, packing, neighbours, decontam, mixing, langid, licenses, chat, partenum, digestruns)
+_MODULES = (secrets, quality, packing, neighbours, decontam, mixing, langid, licenses, chat, partenum, merkle, digestruns, resampling)
 
 
 def queries() -> dict[str, Callable]:
