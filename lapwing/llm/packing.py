@@ -22,9 +22,10 @@ from __future__ import annotations
 import os
 import re
 import string
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import chain
 
 import numpy as np
@@ -45,6 +46,15 @@ _MARKS = string.punctuation.replace("'", "")
 _SCHEMA = "shard int, segment int, first long, bits int, n_ids long, block_offsets array<long>, payload binary, doc_ids array<long>, doc_offsets array<long>"
 
 
+@cache
+def _ends_a_word(last: str) -> bool:
+    """Whether marks after this character are pieces of their own: it is an ASCII letter or digit, or a letter that normalises to one letter, without a combining mark."""
+    if last.isascii():
+        return last.isalnum()
+    found = unicodedata.normalize("NFC", unicodedata.normalize("NFC", last).lower())
+    return len(found) == 1 and unicodedata.category(last)[0] == unicodedata.category(found)[0] == "L"
+
+
 def bits_for(size: int) -> int:
     """Bits that hold each of ``size`` ids."""
     return max(1, (size - 1).bit_length())
@@ -98,7 +108,7 @@ class WordEncoder:
         self.count, self.ids, self.begins = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        """Adds words. Marks after a letter or digit are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
+        """Adds words. Marks after what ``_ends_a_word`` are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
         known, joined = self.known, " ".join(new)
         special = [x for x in self.special if x in joined]  # the tokenizer finds these before anything else
         letters, rest, plain, marked = {}, {}, [], []
@@ -109,7 +119,7 @@ class WordEncoder:
                     rest[w] = None
                     continue
                 stem = w.rstrip(_MARKS)
-                if stem and stem[-1].isalnum():
+                if stem and _ends_a_word(stem[-1]):
                     marks = w[len(stem) :]
                 else:
                     stem = w

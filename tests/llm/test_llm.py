@@ -351,3 +351,21 @@ def test_pipeline(spark):
     copies = {r.doc_id: r.copies for r in mixing.mixture(table.where(table.doc_id.isin([k for k in kept if k not in hits]))).collect()}
     assert [r.doc_id for r in got] == sorted(k for k, c in copies.items() for _ in range(c))
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+@pytest.mark.parametrize("form", ["{0},", "{0}.", "{0}-", "{0}_", "a{0}!", ",{0}?", "{0}a-{0}.", "e{0}́.", "{0}'s,"])
+def test_every_character_next_to_marks(form):
+    """Letters that normalise to a letter and a combining mark join the marks after them; all code points are tried."""
+    path = packing.vocabulary()
+    text = " ".join(form.format(chr(c)) for c in [*range(0x21, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x20000, 5)] if not chr(c).isspace())
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.WordEncoder(path).encode(text).tolist() == want
+
+
+def test_random_strings_of_many_scripts():
+    rng = np.random.default_rng(11)
+    alphabet = [chr(c) for c in (*range(0x21, 0x250), *range(0x370, 0x530), *range(0x900, 0xB80), 0x301, 0x307, 0x4E00, 0xAC00, 0x1F600)] + list(".,-_'!? ") * 60 + list("abcdefgh") * 20
+    texts = ["".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(1, 14))) for _ in range(30_000)]
+    path = packing.vocabulary()
+    encoder, want = packing.WordEncoder(path), Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert [x for x, w in zip(texts, want, strict=True) if encoder.encode(x).tolist() != w.ids] == []
