@@ -81,9 +81,18 @@ def printed_age_bands(spark, sf_dir):
 @query(""" f AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY seconds, entry_id) AS place, row_number() OVER (PARTITION BY race_id, sex ORDER BY seconds, entry_id) AS sex_place FROM results WHERE seconds IS NOT NULL)
 SELECT race_id, place::INT AS place, entry_id::INT AS bib, name, sex, sex_place::INT AS sex_place, age_band, floor(seconds) AS seconds, hometown FROM f""")
 def printed_results(spark, sf_dir):
-    """Every race printed as a page and read back from it."""
+    """Every race printed as pages and read back from them."""
     rows = pages.printed_results(pages.print_results(results(spark, sf_dir)))
-    return rows.select(F.col("page_id").alias("race_id"), "place", "bib", "name", "sex", "sex_place", "age_band", "seconds", "hometown")
+    return rows.select(F.substring_index("page_id", "/", 1).alias("race_id"), "place", "bib", "name", "sex", "sex_place", "age_band", "seconds", "hometown")
+
+
+@query(""" f AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY seconds, entry_id) AS place FROM results WHERE seconds IS NOT NULL)
+SELECT race_id, (place - 1) // 120 AS page, place::INT AS place, entry_id::INT AS bib, CASE WHEN place % 120 = 3 THEN rpad(name, 20, 'x') ELSE name END AS name, age_band, floor(seconds) AS seconds, hometown, NULL::VARCHAR AS problem FROM f WHERE course_id NOT LIKE '5%'
+UNION ALL SELECT DISTINCT race_id, (place - 1) // 120, NULL, NULL, NULL, NULL, NULL, NULL, 'no blank columns between the fields' FROM f WHERE course_id LIKE '5%'""")
+def unruled_results(spark, sf_dir):
+    """Every race printed without rulers and read back: shifted headers, names that reach the times, and pages that no blank column divides."""
+    rows = pages.printed_results(pages.print_unruled(results(spark, sf_dir)))
+    return rows.select(F.substring_index("page_id", "/", 1).alias("race_id"), F.substring_index("page_id", "/", -1).cast("long").alias("page"), "place", "bib", "name", "age_band", "seconds", "hometown", "problem")
 
 
 def _shared_names(spark, sf_dir):
