@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lapwing.llm import digestruns, merkle, resampling
@@ -169,16 +170,23 @@ def test_resample_of_nothing(spark):
     assert [tuple(r)[1:3] for r in got] == [(0, 0)] and got[0].rank is None
 
 
-def test_pieces_of_a_long_text(spark, monkeypatch):
+def test_pieces_of_a_long_text(monkeypatch):
     """Runs across pieces count once, whatever the length of a word."""
     monkeypatch.setattr(resampling, "SLICE", 64)
     monkeypatch.setattr("lapwing.llm.words.SLICE", 64)
     rng = np.random.default_rng(8)
     text = "".join(("Wört", " ", ".", "a" * int(rng.integers(1, 90)), ", ", "b")[k] for k in rng.integers(0, 6, 3000))
-    rows = [(1, text, None, None, None), (2, "short one", None, None, None), (3, "  .  " * 90 + text[:700], None, None, None), (4, None, None, None, None)]
-    goal = spark.createDataFrame([("a b", )], "text string")
-    got = sorted((tuple(r) for r in resampling.resample(table(spark, rows).coalesce(1), goal, percent=50).collect()), key=str)
-    assert got == brute_draw(rows, ["a b"], 50, 20, 10_000, 42)
+    rows = [(1, text), (2, "short one"), (3, "  .  " * 90 + text[:700]), (4, None), (5, "x" * 5000), (6, text[:5000])]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in part], "text": [r[1] for r in part]}) for part in (rows[:4], rows[4:])])
+    own = np.zeros(10_000, np.int64)
+    for batch in resampling._counted(batches(), 10_000):
+        own[batch.column("bucket").to_numpy()] = batch.column("n").to_numpy()
+    target = np.zeros(10_000, np.int64)
+    for f in ("a", "b", "a b"):
+        target[zlib.crc32(f.encode()) % 10_000] += 1
+    got = [tuple(r.values()) for batch in resampling._weighed(batches(), resampling.gains(own, target), 42) for r in batch.to_pylist()]
+    want = brute_draw([(*r, None, None, None) for r in rows], ["a b"], 0, 20, 10_000, 42)
+    assert sorted(((d, n, w, s, None) for d, _, n, w, s in got), key=str) == want and len(got) == 6
 
 
 def test_checksums_and_tournament():
