@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import features, models
+from lapwing.operators import boosting, features, models
 from lapwing.plans.registry import query
 from lapwing.sources.results import results
 
@@ -34,3 +34,20 @@ def finish_probability(spark, sf_dir):
     rows = features.participation(results(spark, sf_dir)).join(results(spark, sf_dir).select("entry_id", F.col("seconds").isNotNull().cast("int").alias("finished")), "entry_id")
     beta = models.fit_logistic(rows, INPUTS, "finished")
     return rows.select("entry_id", "finished", F.round(models.probability(beta, INPUTS), 5).alias("probability"))
+
+
+FORM = ["results", "last_ratio", "best_ever", "best_recent", "gap_to_best", "consistency", "trend_per_year", "days_since", "form_weighted", "courses", "improvement", "races_per_year"]
+MORE = ["last_three", "best_at_distance", "years_racing", "age", "sex", "log_distance", "step_from_last", "month"]
+#: Trees a model of the registered query.
+ROUNDS = 12
+
+
+@query()
+def boosted_quantiles(spark, sf_dir):
+    """Seconds of every entry at seven quantiles, by trees fitted on the finishes of earlier years; null in years without enough before them."""
+    rows = results(spark, sf_dir)
+    own = features.ratio(rows).select("entry_id", "r", F.year("race_date").alias("block"), "distance_m")
+    table = own.join(features.form(rows), "entry_id").join(models.more_form(rows), "entry_id").withColumnsRenamed({"entry_id": "id", "r": "y"})
+    found = boosting.boosted_quantiles(table, [*FORM, *MORE], rounds=ROUNDS, rate=0.3)
+    seconds = lambda k, q: F.round(F.exp(f"q{k}") * F.col("distance_m") * F.lit(0.3), 6).alias(f"q{round(100 * q):02d}")
+    return own.join(found.withColumnRenamed("id", "entry_id"), "entry_id").select("entry_id", *[seconds(k, q) for k, q in enumerate(boosting.QUANTILES)])
