@@ -9,9 +9,9 @@ from lapwing.operators import asof, cards, scoring
 from lapwing.plans.registry import query
 from lapwing.sources.results import results, table
 
-# Lines are orders of one half year, results those of the other; keys and towns by customer.
-_LINES = """ all_ AS (SELECT o_orderkey AS id, (o_custkey % 3 * 100000 + o_custkey // 5)::VARCHAR AS key, (o_custkey % 4)::VARCHAR AS town, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice::DOUBLE END AS seconds, year(o_orderdate) AS y FROM orders
-), line AS (SELECT * FROM all_ WHERE y = 1995), res AS (SELECT * FROM all_ WHERE y = 1996)"""
+# Lines are the orders of odd years, results those of the even year after; keys by two customers and a pair of years, towns by customer.
+_LINES = """ all_ AS (SELECT o_orderkey AS id, (o_custkey // 2)::VARCHAR || '-' || ((year(o_orderdate) + 1) // 2)::VARCHAR AS key, (o_custkey % 4)::VARCHAR AS town, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice::DOUBLE END AS seconds, year(o_orderdate) AS y FROM orders
+), line AS (SELECT * FROM all_ WHERE y % 2 = 1), res AS (SELECT * FROM all_ WHERE y % 2 = 0)"""
 _OUTCOMES = _LINES + """, ln AS (SELECT *, count(*) OVER (PARTITION BY key) AS times FROM line
 ), cand AS (SELECT l.id AS line, any_value(l.key) AS key, any_value(l.times) AS times, count(r.id) AS n, count(r.id) FILTER (WHERE r.town = l.town) AS m, min(struct_pack(a := r.id, s := r.seconds)) FILTER (WHERE r.id IS NOT NULL) AS one, min(struct_pack(a := r.id, s := r.seconds)) FILTER (WHERE r.town = l.town) AS here FROM ln l LEFT JOIN res r ON l.key = r.key GROUP BY l.id
 ), picked AS (SELECT *, CASE WHEN n = 1 THEN one WHEN m = 1 THEN here END AS c FROM cand
@@ -20,8 +20,9 @@ _OUTCOMES = _LINES + """, ln AS (SELECT *, count(*) OVER (PARTITION BY key) AS t
 
 def _lines(spark, sf_dir):
     c = F.col("o_custkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), (c % 3 * 100000 + F.floor(c / 5)).cast("string").alias("key"), (c % 4).cast("string").alias("town"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double")).alias("seconds"), F.year("o_orderdate").alias("y"))
-    return rows.where("y = 1995").select(F.col("entry_id").alias("line"), "key", "town"), rows.where("y = 1996").drop("y")
+    key = F.concat(F.floor(c / 2).cast("string"), F.lit("-"), F.floor((F.year("o_orderdate") + 1) / 2).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), key.alias("key"), (c % 4).cast("string").alias("town"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double")).alias("seconds"), F.year("o_orderdate").alias("y"))
+    return rows.where("y % 2 = 1").select(F.col("entry_id").alias("line"), "key", "town"), rows.where("y % 2 = 0").drop("y")
 
 
 @query(_OUTCOMES + " SELECT line, outcome, CASE WHEN outcome IN ('finished', 'did not finish') THEN c.a END AS entry_id FROM out", with_results=False)
@@ -37,11 +38,11 @@ def match_counts(spark, sf_dir):
     return counts.join(finishers).select("lines", "finished", (F.col("finishers") - F.col("finished")).alias("unpredicted"))  # a row each
 
 
-@query(""" listed AS (SELECT DISTINCT race_id, day, runner_id % 997 AS key FROM results WHERE entry_id % 4 > 0), fin AS (SELECT DISTINCT race_id, day, runner_id % 997 AS key FROM results WHERE seconds IS NOT NULL AND entry_id % 3 > 0
+@query(""" listed AS (SELECT DISTINCT race_id, day, runner_id // 3 AS key FROM results WHERE entry_id % 4 > 0), fin AS (SELECT DISTINCT race_id, day, runner_id // 3 AS key FROM results WHERE seconds IS NOT NULL AND entry_id % 3 > 0
 ), both_ AS (SELECT coalesce(l.race_id, f.race_id) AS race_id, l.key IS NOT NULL AS l, f.key IS NOT NULL AS f, EXISTS (SELECT 1 FROM listed o WHERE o.day = coalesce(l.day, f.day) AND o.key = coalesce(l.key, f.key)) AS d FROM listed l FULL JOIN fin f ON l.race_id = f.race_id AND l.key = f.key)
 SELECT race_id, count(*) FILTER (WHERE l) AS listed, count(*) FILTER (WHERE f) AS finished, count(*) FILTER (WHERE l AND f) AS found, count(*) FILTER (WHERE f AND NOT l) AS not_listed, count(*) FILTER (WHERE f AND NOT l AND d) AS switched FROM both_ GROUP BY race_id""")
 def attendance(spark, sf_dir):
-    rows = results(spark, sf_dir).withColumn("key", F.col("runner_id") % 997)
+    rows = results(spark, sf_dir).withColumn("key", F.floor(F.col("runner_id") / 3))
     return cards.attendance(rows.where("entry_id % 4 > 0"), rows.where("entry_id % 3 > 0"))
 
 

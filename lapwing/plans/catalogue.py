@@ -76,13 +76,15 @@ def season_blocks(spark, sf_dir):
     return rows.groupBy("quarter", "half").agg(F.countDistinct("race_id").alias("races"), F.count("*").alias("entries"))
 
 
-@query(""" own AS (SELECT * FROM results WHERE runner_id % 3 = 0), outside AS (SELECT * FROM results WHERE runner_id % 3 > 0 AND course_id <> '5-LOW' OR course_id = '5-LOW' AND runner_id % 3 > 0 AND year(race_date) = 1995)
+_OWN = "runner_id % 3 = 0 AND NOT (course_id = '5-LOW' AND month(race_date) % 2 = 0)"
+
+
+@query(f""" own AS (SELECT * FROM results WHERE {_OWN}), outside AS (SELECT * FROM results WHERE NOT ({_OWN}))
 SELECT race_id, 'own' AS source, count(*) AS rows FROM own GROUP BY race_id UNION ALL SELECT race_id, 'outside', count(*) FROM outside WHERE race_id NOT IN (SELECT race_id FROM own) GROUP BY race_id""")
 def union_of_sources(spark, sf_dir):
-    """An outside copy of a race is left out once the first source has it."""
+    """Every row is one of two sources'; an outside copy of a race is left out once the first source has it."""
     rows = results(spark, sf_dir)
-    own = rows.where("runner_id % 3 = 0").withColumn("source", F.lit("own"))
-    outside = rows.where("runner_id % 3 > 0 and course_id <> '5-LOW' or course_id = '5-LOW' and runner_id % 3 > 0 and year(race_date) = 1995").withColumn("source", F.lit("outside"))
+    own, outside = (rows.where(c).withColumn("source", F.lit(name)) for c, name in ((_OWN, "own"), (f"NOT ({_OWN})", "outside")))
     return catalogue.union_of_sources(own, outside, ["race_id"]).groupBy("race_id", "source").agg(F.count("*").alias("rows"))
 
 

@@ -33,21 +33,21 @@ def identity_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", printed.name_key(name).alias("name_key"), printed.initial_key(name).alias("initial_key"), printed.town_key(_pick(_TOWNS, "c_custkey")).alias("town_key"))
 
 
-@query(f""" t AS (SELECT c_custkey, {_sql(_TOWNS, '(c_custkey % 11)')} AS printed FROM customer), k AS (SELECT *, regexp_replace(regexp_replace({_FOLD.format('printed')}, '^(st|ste|saint|sainte)\\b\\.?\\s+', 'st '), '[^a-z0-9]', '', 'g') AS key, regexp_replace(printed, '\\s+', ' ', 'g') AS shown FROM t),
+@query(f""" t AS (SELECT c_custkey, {_sql(_TOWNS, '(c_custkey % 11)')} || ' ' || c_custkey // 40 AS printed FROM customer), k AS (SELECT *, regexp_replace(regexp_replace({_FOLD.format('printed')}, '^(st|ste|saint|sainte)\\b\\.?\\s+', 'st '), '[^a-z0-9]', '', 'g') AS key, regexp_replace(printed, '\\s+', ' ', 'g') AS shown FROM t),
 b AS (SELECT key, shown, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, shown) AS r FROM k GROUP BY key, shown) SELECT DISTINCT printed, b.shown FROM k JOIN b USING (key) WHERE r = 1""", with_results=False)
 def town_spellings(spark, sf_dir):
     """Each printed town with the most frequent spelling of its key."""
-    rows = table(spark, sf_dir, "customer").select(_pick(_TOWNS, F.col("c_custkey") % 11).alias("printed"))
+    rows = table(spark, sf_dir, "customer").select(F.concat(_pick(_TOWNS, F.col("c_custkey") % 11), F.lit(" "), F.floor(F.col("c_custkey") / 40).cast("string")).alias("printed"))
     counts = rows.groupBy("printed").agg(F.count("*").alias("n")).withColumn("shown", printed.clean(printed.repair(F.col("printed")))).withColumn("key", printed.town_key(F.col("shown")))
     best = counts.groupBy("key", "shown").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "shown")).alias("best"))
     return counts.select("printed", "key").join(best, "key").select("printed", F.col("best.shown").alias("shown"))
 
 
-@query(f""" k AS (SELECT DISTINCT c_custkey % 97 AS surname, {_sql(_FIRST, 'c_custkey')} AS f FROM customer)
+@query(f""" k AS (SELECT DISTINCT c_custkey // 12 AS surname, {_sql(_FIRST, 'c_custkey')} AS f FROM customer)
 SELECT a.surname, a.f AS one, b.f AS other FROM k a JOIN k b ON a.surname = b.surname AND a.f < b.f WHERE least(length(a.f), length(b.f)) >= 3 AND (starts_with(a.f, b.f) OR starts_with(b.f, a.f) OR levenshtein(a.f, b.f) = 1)""", with_results=False)
 def near_first_names(spark, sf_dir):
     """Spellings of first names under one surname that may be one person's; distinct spellings are paired, not rows."""
-    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).alias("surname"), _pick(_FIRST, "c_custkey").alias("f")).distinct()
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 12).alias("surname"), _pick(_FIRST, "c_custkey").alias("f")).distinct()
     both = rows.alias("a").join(rows.alias("b"), (F.col("a.surname") == F.col("b.surname")) & (F.col("a.f") < F.col("b.f")))
     return both.where(printed.near(F.col("a.f"), F.col("b.f"))).select("a.surname", F.col("a.f").alias("one"), F.col("b.f").alias("other"))
 
