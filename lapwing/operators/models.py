@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lapwing.functions import printed
 from lapwing.operators.asof import strict
 from lapwing.operators.features import ratio
+from lapwing.sources.shared import drop, save
 
 #: Races count as of one distance if their logarithms differ by less.
 NEAR = 0.2
@@ -58,45 +59,54 @@ def origins(results: DataFrame, first_year: int) -> DataFrame:
     return rows.groupBy("race_id", "race_date").agg(F.count("*").alias("finishers"))
 
 
-def _newton_sums(batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A task's part of the gradient and of the curvature, as one row for each of their cells."""
-    d = len(beta)
-    total = np.zeros((d, d + 1))
+def _newton_sums(batches: Iterator[pa.RecordBatch], betas: np.ndarray, blocks: list[int]) -> Iterator[pa.RecordBatch]:
+    """A task's part of the gradient and of the curvature of each block's fit, as one row for each of their cells."""
+    d = betas.shape[1]
+    total = np.zeros((len(blocks), d, d + 1))
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(d - 1))], axis=1).astype(float)
-        y = batch.column(d - 1).to_numpy(zero_copy_only=False).astype(float)
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        total[:, :d] += x.T @ (x * (p * (1 - p))[:, None])
-        total[:, d] += x.T @ (y - p)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(d + 1)]
+        whole = np.stack([np.ones(batch.num_rows), *columns[: d - 1]], axis=1).astype(float)
+        for k, block in enumerate(blocks):
+            use = columns[d] < block
+            x, y = whole[use], columns[d - 1][use].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(x @ betas[k], -500, 500)))
+            total[k, :, :d] += x.T @ (x * (p * (1 - p))[:, None])
+            total[k, :, d] += x.T @ (y - p)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "value"])
 
 
-def fit_logistic(rows: DataFrame, inputs: list[str], label: str, ridge: float = RIDGE) -> np.ndarray:
-    """Coefficients, the constant first and not shrunk, of a ridge logistic regression by Newton's method.
+def fit_logistic_before(rows: DataFrame, inputs: list[str], label: str, block: str, blocks: list[int], ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients, ``[block, (constant, inputs)]``, of a ridge logistic regression for each of ``blocks`` on the rows of smaller block numbers.
 
-    Each step sums gradient and curvature in the tasks; (d + 1) squared numbers
-    come to the driver, whatever the number of rows. Rows with a null are left out,
-    as they say nothing of the missing input.
+    All blocks' Newton steps share one pass, which sums gradients and curvatures in
+    the tasks; (d + 1) squared numbers a block come to the driver, whatever the
+    number of rows. The constant isn't shrunk. Rows with a null are left out, as they say nothing of
+    the missing input; a block without rows before it has zeros.
     """
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*inputs, label)]).dropna().persist()
+    rows = save(rows.select(*[F.col(c).cast("double").alias(c) for c in (*inputs, label, block)]).dropna(), "fitted")
     d = len(inputs) + 1
     shrink = ridge * np.eye(d)
     shrink[0, 0] = 0.0
-    beta = np.zeros(d)
+    betas = np.zeros((len(blocks), d))
     for _ in range(STEPS):
-        found = rows.mapInArrow(partial(_newton_sums, beta=beta), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-        total = np.zeros(d * (d + 1))
+        found = rows.mapInArrow(partial(_newton_sums, betas=betas, blocks=blocks), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+        total = np.zeros(len(blocks) * d * (d + 1))
         for row in found:
             total[row["cell"]] = row["value"]
-        total = total.reshape(d, d + 1)
-        step = np.linalg.lstsq(total[:, :d] + shrink, total[:, d] - shrink @ beta, rcond=None)[0]
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
+        total = total.reshape(len(blocks), d, d + 1)
+        steps = np.array([np.linalg.lstsq(t[:, :d] + shrink, t[:, d] - shrink @ b, rcond=None)[0] for t, b in zip(total, betas, strict=True)])
+        betas = betas + steps
+        if np.abs(steps).max(initial=0.0) < 1e-8:
             break
-    rows.unpersist()
-    return beta
+    drop(rows)
+    return betas
+
+
+def fit_logistic(rows: DataFrame, inputs: list[str], label: str, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients, the constant first, of one such regression on all rows."""
+    return fit_logistic_before(rows.withColumn("_block", F.lit(0)), inputs, label, "_block", [1], ridge)[0]
 
 
 def probability(beta: np.ndarray, inputs: list[str]):

@@ -30,10 +30,13 @@ def backtest_origins(spark, sf_dir):
 
 @query()
 def finish_probability(spark, sf_dir):
-    """How likely each entry is to finish, by the counts of who turns up."""
-    rows = features.participation(results(spark, sf_dir)).join(results(spark, sf_dir).select("entry_id", F.col("seconds").isNotNull().cast("int").alias("finished")), "entry_id")
-    beta = models.fit_logistic(rows, INPUTS, "finished")
-    return rows.select("entry_id", "finished", F.round(models.probability(beta, INPUTS), 5).alias("probability"))
+    """How likely each entry is to finish, by the counts of who turns up and a fit on earlier years; null in the first year."""
+    own = results(spark, sf_dir).select("entry_id", F.year("race_date").alias("year"), F.col("seconds").isNotNull().cast("int").alias("finished"))
+    rows = features.participation(results(spark, sf_dir)).join(own, "entry_id")
+    years = sorted(r.year for r in own.select("year").distinct().collect())[1:]  # a row a year
+    betas = models.fit_logistic_before(rows, INPUTS, "finished", "year", years)
+    chances = [F.when(F.col("year") == y, models.probability(b, INPUTS)) for y, b in zip(years, betas, strict=True)]
+    return rows.select("entry_id", "finished", F.round(F.coalesce(F.lit(None).cast("double"), *chances), 5).alias("probability"))
 
 
 FORM = ["results", "last_ratio", "best_ever", "best_recent", "gap_to_best", "consistency", "trend_per_year", "days_since", "form_weighted", "courses", "improvement", "races_per_year"]

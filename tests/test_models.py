@@ -21,6 +21,18 @@ def test_logistic_equals_numpy(spark):
     assert models.fit_logistic(spark.createDataFrame([], "a double, y int"), ["a"], "y").tolist() == [0.0, 0.0]
 
 
+def test_blocks_learn_from_earlier_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(x), int(rng.random() < 1 / (1 + np.exp(-x * (1 if k < 200 else -2)))), k // 100) for k, x in enumerate(rng.normal(size=400))]
+    schema = "a double, y int, b int"
+    got = models.fit_logistic_before(spark.createDataFrame(rows, schema), ["a"], "y", "b", [0, 1, 2, 4])
+    assert got[0].tolist() == [0.0, 0.0]
+    for k, block in ((1, 1), (2, 2), (3, 4)):
+        assert np.allclose(got[k], models.fit_logistic(spark.createDataFrame([r for r in rows if r[2] < block], schema), ["a"], "y"), atol=1e-9)
+    later = [(a, 1 - y if b > 1 else y, b) for a, y, b in rows]
+    assert np.array_equal(got[:3], models.fit_logistic_before(spark.createDataFrame(later, schema), ["a"], "y", "b", [0, 1, 2, 4])[:3])
+
+
 def test_implied_grade_refuses(spark):
     rows = spark.createDataFrame([(10000.0, 200.0, 200.0, -0.5), (10000.0, 200.0, 200.0, 9.0), (1000.0, 900.0, 900.0, 0.1), (10000.0, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 0.1)], "d double, u double, v double, f double")
     assert [r[0] for r in rows.select(mornings.implied_grade("d", "u", "v", "f")).collect()] == [None] * 5
