@@ -14,7 +14,7 @@ over the shards before it; one row a shard is what that sum runs over.
 
 The tokenizers of this module split at white space and drop it, so equal words
 have equal ids wherever they stand. A task encodes each word that it meets once
-(until its table of words is full and is begun anew) and looks it up afterwards.
+(until its table of words is full and the words that came once are forgotten) and looks it up afterwards.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from lapwing.llm.storage import new_path
 from lapwing.llm.words import slices
 
 #: Ids of a block; ids after which a segment is closed; words that a task remembers; characters encoded at once.
-BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 1_500_000, 1 << 20
+BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 500_000, 1 << 20
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII marks, without the apostrophe, which may belong to what follows it.
@@ -89,6 +89,13 @@ def read_ids(payload: bytes, block_offsets, n_ids: int, bits: int, start: int, e
     return np.concatenate(parts)[start - a * BLOCK : end - a * BLOCK]
 
 
+class _Known(dict):
+    """The numbers of known words; -1 for any other, which isn't added."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that splits at white space and drops it."""
 
@@ -104,8 +111,18 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.count, self.ids, self.begins = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.known: dict[str, int] = _Known()
+        self.count, self.ids, self.begins, self.again = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def _renew(self) -> None:
+        """Forgets the words that no later text had; all of them, if too many are left."""
+        kept = [w for w, k in self.known.items() if self.again[k]]
+        if len(kept) > REMEMBERED // 2:
+            kept = []
+        ids, lengths = self._ids_of(np.array([self.known[w] for w in kept], np.int64))
+        self._forget()
+        if kept:
+            self._add(kept, ids, lengths)
 
     def _learn(self, new: list[str]) -> None:
         """Adds words. Marks after what ``_ends_a_word`` are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
@@ -159,7 +176,7 @@ class WordEncoder:
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(words) >= len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+            self.begins, self.again = np.concatenate([self.begins, np.zeros_like(self.begins)]), np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.begins[self.count] : ends[-1]] = ids
         self.begins[self.count + 1 : self.count + 1 + len(words)] = ends
         self.known.update(zip(words, range(self.count, self.count + len(words)), strict=True))
@@ -187,10 +204,15 @@ class WordEncoder:
 
     def _encode(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self._forget()
-        if new := set(words).difference(self.known):
-            self._learn(list(new))
-        return self._ids_of(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))[0]
+            self._renew()
+        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = np.flatnonzero(k < 0)
+        self.again[k if not len(at) else k[k >= 0]] = True
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            k[at] = [self.known[w] for w in new]
+        return self._ids_of(k)[0]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -369,3 +369,13 @@ def test_random_strings_of_many_scripts():
     path = packing.vocabulary()
     encoder, want = packing.WordEncoder(path), Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
     assert [x for x, w in zip(texts, want, strict=True) if encoder.encode(x).tolist() != w.ids] == []
+
+
+def test_a_full_table_of_words_keeps_what_recurs(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["often", "Again,", f"once{rng.integers(1e9)}", *(f"w{k}." for k in rng.integers(0, 30, 9))]) for _ in range(300)] + [LONG]
+    path = packing.vocabulary()
+    encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert all(encoder.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    assert "often" in encoder.known and len(encoder.known) < 600
