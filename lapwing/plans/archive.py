@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lapwing.operators import archive
 from lapwing.plans.registry import query
+from lapwing.sources import store
 from lapwing.sources.results import results
+from lapwing.sources.shared import new_path
 
 _DEPTH = " d AS (SELECT r.*, (SELECT count(*) FROM past p WHERE p.target = r.entry_id) AS depth FROM results r WHERE r.seconds IS NOT NULL)"
 
@@ -35,3 +39,20 @@ def newcomer_pool(spark, sf_dir):
 @query(_DEPTH + " SELECT sex, age_band, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY sex), 6) AS share FROM d WHERE depth = 0 GROUP BY sex, age_band")
 def newcomer_shares(spark, sf_dir):
     return archive.newcomer_shares(results(spark, sf_dir))
+
+
+@query(""" e AS (SELECT race_id, year(race_date)::VARCHAR AS block, count(seconds) AS finishers, min(seconds) AS best, quantile_cont(seconds, 0.5) AS median FROM results GROUP BY ALL
+), c AS (SELECT year(race_date)::VARCHAR AS block, max((entry_id % 4000 = 0)::INT) AS changed FROM results GROUP BY ALL)
+SELECT race_id, block, finishers, round(best, 6) AS best, round(median, 6) AS median, 1 + changed AS generation FROM e JOIN c USING (block)""")
+def stored_editions(spark, sf_dir):
+    """Editions kept by year, after some entries came in: the years that have these were computed twice, the others once."""
+    rows = results(spark, sf_dir).select("entry_id", "race_id", "race_date", "seconds")
+    year = F.year("race_date")
+
+    def editions(part):
+        return part.groupBy("block", "race_id").agg(F.count("seconds").alias("finishers"), F.min("seconds").alias("best"), F.percentile("seconds", F.lit(0.5)).alias("median"))
+
+    kept = store.BlockStore(spark, new_path(spark, "editions"))
+    kept.refresh(rows.where("entry_id % 4000 > 0"), year, editions)
+    found = kept.refresh(rows, year, editions)
+    return found.join(kept.index().select("block", "generation"), "block").select("race_id", "block", "finishers", F.round("best", 6).alias("best"), F.round("median", 6).alias("median"), "generation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import boosting, features, models
+from lapwing.operators import boosting, features, hierarchy, models
 from lapwing.plans.registry import query
 from lapwing.sources.results import results
 
@@ -54,3 +54,27 @@ def boosted_quantiles(spark, sf_dir):
     found = boosting.boosted_quantiles(table, [*FORM, *MORE], rounds=ROUNDS, rate=0.3)
     seconds = lambda k, q: F.round(F.exp(f"q{k}") * F.col("distance_m") * F.lit(0.3), 6).alias(f"q{round(100 * q):02d}")
     return own.join(found.withColumnRenamed("id", "entry_id"), "entry_id").select("entry_id", *[seconds(k, q) for k, q in enumerate(boosting.QUANTILES)])
+
+
+def _leveled(spark, sf_dir):
+    rows = features.ratio(results(spark, sf_dir))
+    return rows.select("entry_id", "runner_id", F.concat_ws(" ", "sex", "age_band").alias("grp"), "race_id", "course_id", F.year("race_date").alias("year"), F.log(F.col("distance_m") / F.lit(10_000.0)).alias("x"), F.col("r").alias("y"), "distance_m")
+
+
+@query()
+def hierarchical_levels(spark, sf_dir):
+    """Every runner's level in their last season and fade over distance, with how sure these are, from a fit of all finishes."""
+    found = hierarchy.fit(_leveled(spark, sf_dir), rounds=8).levels.where("last")
+    r6 = lambda c, name: F.round(c, 6).alias(name)
+    return found.select("runner_id", "year", r6(F.col("level"), "level"), r6(F.sqrt("var_level"), "level_sd"), r6(F.col("fade"), "fade"), r6(F.sqrt("var_fade"), "fade_sd"))
+
+
+@query()
+def hierarchical_predictions(spark, sf_dir):
+    """Seconds of every entry of the last year at 10, 50 and 90 %, from a fit of all years before."""
+    rows = _leveled(spark, sf_dir)
+    last = rows.agg(F.max("year")).first()[0]
+    asked = rows.where(F.col("year") == last).withColumnRenamed("entry_id", "id")
+    said = hierarchy.predict(hierarchy.fit(rows.where(F.col("year") < last), rounds=8), asked)
+    at = lambda z, name: F.round(F.exp(F.col("mean") + F.lit(z) * F.col("sd")) * F.col("distance_m") * F.lit(0.3), 6).alias(name)
+    return asked.select("id", "distance_m").join(said, "id").select(F.col("id").alias("entry_id"), at(-1.2816, "q10"), at(0.0, "q50"), at(1.2816, "q90"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions import printed, running
 from lapwing.operators import asof, features, field, identity, publish, scoring
-from lapwing.plans import archive, calendars, cards, catalogue, exports, models, mornings, reading, simulation, stations  # noqa: F401  register their queries
+from lapwing.plans import archive, calendars, cards, catalogue, exports, models, mornings, reading, review, simulation, stations  # noqa: F401  register their queries
 from lapwing.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwing.sources.results import results, table
 from lapwing.sources.shared import new_path

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwing.functions import printed
+from lapwing.operators import courses as course_effects
 from lapwing.operators import resolve as people
 from lapwing.plans.registry import query
 from lapwing.sources import pages
@@ -124,3 +125,13 @@ def two_way_course_effects(spark, sf_dir):
     """What each course costs its runners, their levels and yearly trends held apart."""
     rows = results(spark, sf_dir).withColumns({"y": F.log(F.col("seconds") / (F.col("distance_m") * F.lit(0.3))), "year": F.year("race_date")})
     return people.two_way(rows, "course_id").withColumn("effect", F.round("effect", 6))
+
+
+@query()
+def course_intervals(spark, sf_dir):
+    """What each course costs, with its interval over 400 resamples of the runners, and its gap to the courses of the same length."""
+    rows = results(spark, sf_dir).withColumns({"y": F.log(F.col("seconds") / (F.col("distance_m") * F.lit(0.3))), "year": F.year("race_date")})
+    # Each course's odd and even months as two courses, so that there are peers of one length.
+    rows = rows.withColumn("course", F.concat_ws(" ", "course_id", F.when(F.month("race_date") % 2 == 0, "even").otherwise("odd")))
+    found = course_effects.course_intervals(course_effects.course_draws(rows, "course", rounds=12), rows, "course")
+    return found.select("course", "finishes", "peers", *[F.round(c, 5).alias(c) for c in ("effect", "low", "high", "gap", "gap_low", "gap_high")])
