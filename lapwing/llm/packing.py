@@ -38,7 +38,7 @@ from lapwing.llm.storage import new_path
 from lapwing.llm.words import slices
 
 #: Ids of a block; ids after which a segment is closed; words that a task remembers; characters encoded at once.
-BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 500_000, 1 << 20
+BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 300_000, 1 << 20
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII marks, without the apostrophe, which may belong to what follows it.
@@ -124,6 +124,11 @@ class WordEncoder:
         if kept:
             self._add(kept, ids, lengths)
 
+    def rest(self) -> None:
+        """What a worker does between tasks: it keeps the words that recurred."""
+        self._renew()
+        self.again[:] = False
+
     def _learn(self, new: list[str]) -> None:
         """Adds words. Marks after what ``_ends_a_word`` are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
         known, joined = self.known, " ".join(new)
@@ -245,6 +250,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             held += len(ids)
     if held:
         yield closed()
+    encoder.rest()
 
 
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
