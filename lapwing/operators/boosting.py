@@ -4,9 +4,8 @@ Every block has one model a quantile, fitted on the rows of strictly earlier
 blocks, and all models grow together: a level of all their trees is one pass over the
 rows. A task counts, for each node, input and bin, its rows and how many of them lie
 below what has been predicted; of the pinball loss nothing else is needed to choose a
-split. Counts are summed by a shuffle, the best split of a node is chosen by windows over bins, and
-a few rows, one a node, come to the driver. The value of a leaf is the quantile of its
-residuals, found from counts in cells. So sums are of whole numbers and don't depend on
+split. Counts are summed by a shuffle; they come to the driver, which chooses the best split of each node.
+The value of a leaf is the quantile of its residuals, found by windows over counts in cells. So sums are of whole numbers and don't depend on
 the order of rows, and what is shuffled doesn't grow with the number of rows.
 """
 
@@ -18,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.sources.shared import save
@@ -27,9 +26,9 @@ QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 #: Bins of an input, the first being for null; rows of a leaf and of a fit at least; what is added to counts in gains.
 BINS, LEAST_LEAF, LEAST_FIT, RIDGE = 32, 20, 1000, 1.0
 #: Residuals are told apart in so many cells between minus and plus the span.
-CELLS, SPAN = 4096, 1.0
+CELLS, SPAN = 2048, 1.0
 #: Trees are applied to the saved rows, and forgotten by the passes, after so many rounds.
-KEEP = 25
+KEEP = 4
 
 _ROWS = "id long, block int, y double, bins binary, base binary"
 
@@ -131,33 +130,29 @@ def _binned(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[p
 
 
 def _best_splits(sums: DataFrame, forest: Forest, inputs: int, level: int, least: int, ridge: float) -> np.ndarray:
-    """The best split of each node, ``[model, node, (input, last bin, null left)]``, by windows over the bins of each input."""
+    """The best split of each node, ``[model, node, (input, last bin, null left)]``; of equal ones the first. Counts come to the driver: a number a node, input and bin, whatever the number of rows."""
     nodes = 1 << level
-    at = lambda by, of: F.floor(F.col("key") / by) % of if of else F.floor(F.col("key") / by)
-    rows = sums.select(at(inputs * BINS, None).alias("node"), at(BINS, inputs).alias("input"), (F.col("key") % BINS).alias("bin"), "n", "below")
-    alpha = F.element_at(F.array(*[F.lit(q) for q in forest.quantiles]), (F.floor(F.col("node") / nodes) % len(forest.quantiles) + 1).cast("int"))
-    whole = Window.partitionBy("node", "input")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    kept = lambda c, missing: F.sum(F.when((F.col("bin") == 0) == F.lit(missing), F.col(c)).otherwise(0))
-    rows = rows.withColumns({"all": F.sum("n").over(whole), "all_below": F.sum("below").over(whole), "none": kept("n", True).over(whole), "none_below": kept("below", True).over(whole), "left": kept("n", False).over(upto), "left_below": kept("below", False).over(upto), "alpha": alpha})
-
-    def score(n: Column, below: Column) -> Column:
-        g = (1 - F.col("alpha")) * below - F.col("alpha") * (n - below)
-        return g * g / (n + F.lit(ridge))
-
-    def gain(n: Column, below: Column) -> Column:
-        rest, rest_below = F.col("all") - n, F.col("all_below") - below
-        value = score(n, below) + score(rest, rest_below) - score(F.col("all"), F.col("all_below"))
-        return F.when((n >= least) & (rest >= least) & (value > 1e-9), value)
-
-    sides = F.array(F.struct(gain(F.col("left"), F.col("left_below")).alias("gain"), F.lit(0).alias("null_left")), F.struct(gain(F.col("left") + F.col("none"), F.col("left_below") + F.col("none_below")).alias("gain"), F.lit(1).alias("null_left")))
-    rows = rows.where("bin > 0").select("node", "input", "bin", F.explode(sides).alias("side")).where("side.gain is not null")
-    best = rows.groupBy("node").agg(F.max(F.struct("side.gain", (-F.col("input")).alias("input"), (-F.col("bin")).alias("bin"), (-F.col("side.null_left")).alias("null_left"))).alias("best"))
-    out = np.zeros((forest.models, nodes, 3), np.int64)
-    out[:, :, 0] = -1
-    for r in best.collect():  # a row a node
-        out[divmod(r.node, nodes)] = (-r.best.input, -r.best.bin, -r.best.null_left)
-    return out
+    told = sums.toArrow()
+    n, below = np.zeros((2, forest.models * nodes * inputs * BINS))
+    for out, name in ((n, "n"), (below, "below")):
+        out[told.column("key").to_numpy()] = told.column(name).to_numpy()
+    n, below = n.reshape(-1, inputs, BINS), below.reshape(-1, inputs, BINS)
+    alpha = np.tile(np.repeat(np.array(forest.quantiles), nodes), len(forest.blocks))[:, None, None, None]
+
+    def score(n: np.ndarray, below: np.ndarray) -> np.ndarray:
+        g = (1 - alpha) * below - alpha * (n - below)
+        return g * g / (n + ridge)
+
+    sides = np.array([0, 1])
+    left, left_below = (np.cumsum(x[:, :, 1:], axis=2)[..., None] + x[:, :, :1, None] * sides for x in (n, below))
+    every, every_below = (x.sum(axis=2)[:, :, None, None] for x in (n, below))
+    gain = score(left, left_below) + score(every - left, every_below - left_below) - score(every, every_below)
+    good = (n[:, :, 1:, None] > 0) & (left >= least) & (every - left >= least) & (gain > 1e-9)
+    gain = np.where(good, gain, -1).reshape(len(n), -1)
+    best = gain.argmax(axis=1)
+    out = np.stack([best // (2 * (BINS - 1)), best // 2 % (BINS - 1) + 1, best % 2], axis=1)
+    out[gain.max(axis=1) < 0] = (-1, 0, 0)
+    return out.reshape(forest.models, nodes, 3)
 
 
 def _leaf_values(sums: DataFrame, forest: Forest, leaves: int) -> np.ndarray:

@@ -38,10 +38,9 @@ def draw(pairs: DataFrame, per_stratum: int = PER_STRATUM, seed: str = SEED) ->
     return drawn.join(counts, "_key").withColumn("sampled", F.least("population", F.lit(per_stratum))).drop("_key", "_hash")
 
 
-def _times(pair: Column, draw: Column, seed: str) -> Column:
-    """How often a pair counts in a draw: once in draw 0, else a Poisson number that their hash decides."""
-    u = F.conv(F.substring(_hash(F.lit(seed), pair, draw.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return F.when(draw == 0, 1).otherwise(sum(((u >= c).cast("int") for c in _CUTS), F.lit(0)))
+def _luck(pair: Column, draw: Column, seed: str) -> Column:
+    """A number in [0, 1) of a pair in a draw, which their hash decides; in draw 0 one that counts once."""
+    return F.when(draw == 0, F.lit(0.5)).otherwise(F.conv(F.substring(_hash(F.lit(seed), pair, draw.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0))
 
 
 def score(labelled: DataFrame, draws: int = DRAWS, seed: str = SEED) -> DataFrame:
@@ -55,7 +54,8 @@ def score(labelled: DataFrame, draws: int = DRAWS, seed: str = SEED) -> DataFram
     counts = rows.agg(F.count(F.when(F.col("label").isin("same", "different"), 1)).alias("labelled"), F.count(F.when(F.col("label") == "unsure", 1)).alias("unsure"), F.count(F.when(F.coalesce("label", F.lit("")) == "", 1)).alias("unlabelled"))
     sure = rows.where("label in ('same', 'different') and joined is not null").withColumn("same", (F.col("label") == "same").cast("int"))
     sure = sure.repartition(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = sure.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("times", _times(F.col("pair"), F.col("draw"), seed)).where("times > 0")
+    drawn = sure.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("luck", _luck(F.col("pair"), F.col("draw"), seed))
+    drawn = drawn.where(F.col("luck") >= _CUTS[0]).withColumn("times", sum(((F.col("luck") >= c).cast("int") for c in _CUTS), F.lit(0)))
     total = lambda c: F.sum(F.col("times") * c)
     sums = drawn.groupBy("key", "draw").agg(F.max("population").alias("population"), total(F.col("joined") * F.col("same")).alias("both"), total(F.col("joined")).alias("joined"), total(F.col("same")).alias("same"))
     sides = F.explode(F.array(F.struct(F.lit("precision").alias("measure"), F.col("joined").alias("of")), F.struct(F.lit("recall").alias("measure"), F.col("same").alias("of"))))

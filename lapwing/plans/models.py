@@ -42,7 +42,7 @@ def finish_probability(spark, sf_dir):
 FORM = ["results", "last_ratio", "best_ever", "best_recent", "gap_to_best", "consistency", "trend_per_year", "days_since", "form_weighted", "courses", "improvement", "races_per_year"]
 MORE = ["last_three", "best_at_distance", "years_racing", "age", "sex", "log_distance", "step_from_last", "month"]
 #: Trees a model of the registered query.
-ROUNDS = 12
+ROUNDS = 10
 
 
 @query()
