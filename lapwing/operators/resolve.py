@@ -85,7 +85,7 @@ def two_way(rows: DataFrame, group: str, rounds: int = ROUNDS) -> DataFrame:
     rows = rows.join(stats.drop("n"), "runner_id").withColumn("x", (F.col("year") - F.col("start")).cast("double"))
     cells = rows.groupBy("runner_id", "g").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     cells = cells.repartition("runner_id").persist()
-    effects = save(cells.groupBy("g").agg(F.sum("n").alias("finishes"), F.lit(0.0).alias("effect")).coalesce(1), "effects")
+    effects = save(cells.groupBy("g").agg(F.sum("n").alias("finishes"), F.lit(0.0).alias("effect")), "effects")
     over = lambda c: F.sum(c).over(Window.partitionBy("runner_id"))
     e = F.col("effect")
     for _ in range(rounds):
@@ -94,7 +94,7 @@ def two_way(rows: DataFrame, group: str, rounds: int = ROUNDS) -> DataFrame:
         now = now.withColumn("slope", F.when(spread > 1e-9, F.greatest(F.least((F.col("k") * F.col("xr") - F.col("x") * F.col("r")) / spread, F.lit(MAX_TREND)), F.lit(-MAX_TREND))).otherwise(0.0))
         level = (F.col("r") - F.col("slope") * F.col("x")) / F.col("k")
         means = now.groupBy("g").agg(F.sum("n").alias("finishes"), (F.sum(F.col("sy") - F.col("n") * level - F.col("slope") * F.col("sx")) / F.sum("n")).alias("effect"))
-        means = save(means.coalesce(1), "effects")
+        means = save(means, "effects")
         drop(effects)
         effects = means
     cells.unpersist()
