@@ -129,7 +129,7 @@ def as_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(np.arange(WINDOW) < length[:, None], out, 0).astype(np.uint8), text, length
 
 
-def _predict(batches: Iterator[pa.RecordBatch], network: ByteNetwork) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], network: ByteNetwork, texts: bool = False) -> Iterator[pa.RecordBatch]:
     for rows in slices(batches, "text"):
         data, bounds = utf8(rows.column("text"))
         n = rows.num_rows
@@ -139,7 +139,7 @@ def _predict(batches: Iterator[pa.RecordBatch], network: ByteNetwork) -> Iterato
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
         letters = [t is not None and bool(network.classes) and bool(_LETTER.search(t)) for t in rows.column("text").to_pylist()]
         best = total.argmax(axis=1) if network.classes else np.zeros(n, int)
-        out = [c for c in rows.schema.names if c != "text"]
+        out = [c for c in rows.schema.names if texts or c != "text"]
         yield pa.RecordBatch.from_arrays(
             [
                 *[rows.column(c) for c in out],
@@ -195,9 +195,10 @@ def identify(docs: DataFrame, network: ByteNetwork, keep: tuple[str, ...] = ("do
     the first by name is given. Equal texts get equal answers; rows repeat as
     they do, an empty table gives an empty one; columns not named are not looked at.
     """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(partial(_predict, network=network), f"{schema}, lang_pred string, score double")
+    rows = docs.select(*[c for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or "text" in keep)
+    found = rows.mapInArrow(partial(_predict, network=network, texts="text" in keep), f"{schema}, lang_pred string, score double")
+    return found.select(*keep, "lang_pred", "score")
 
 
 def op7_byte_cnn_langid(spark, sf_dir: str) -> DataFrame:
