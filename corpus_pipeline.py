@@ -24,9 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those of which no language is more likely than not."""
     network = langid.train(docs.select("doc_id", "text", "lang"))
-    rows = docs.select(*COLUMNS, F.col("text").alias("whole"))
-    found = langid.identify(rows.select("doc_id", "lang", "source", "n_chars", "whole", "text"), network, keep=("doc_id", "lang", "source", "n_chars", "whole"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc_id", F.col("whole").alias("text"), "lang", "source", "n_chars")
+    found = langid.identify(docs.select(*COLUMNS), network, keep=COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
