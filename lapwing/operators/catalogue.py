@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapwing.functions import courses
 
 
-def catalogue(rows: DataFrame, aliases: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+def catalogue(rows: DataFrame, aliases: tuple[tuple[str, str], ...] = (), sponsors: tuple[str, ...] = ()) -> DataFrame:
     """``href, event, race_id, date, distance_m, course_id, reason`` of every index row (href, event, printed, year).
 
     A row is a race, or has the reason why it isn't one. Of rows with one course,
@@ -17,7 +17,7 @@ def catalogue(rows: DataFrame, aliases: tuple[tuple[str, str], ...] = ()) -> Dat
     """
     rows = rows.select("href", "event", courses.edition_id(F.col("href"), F.col("event")).alias("race_id"), courses.edition_date(F.col("href"), F.col("printed"), F.col("year")).alias("date"), courses.distance(F.col("event")).alias("distance_m"))
     reason = F.coalesce(courses.not_read(F.col("event"), F.col("href")), F.when(F.col("date").isNull(), "no date"), F.when(F.col("distance_m").isNull(), "no single distance"))
-    rows = rows.withColumns({"reason": reason, "course_id": F.when(reason.isNull(), courses.course(F.col("event"), F.col("distance_m"), aliases))})
+    rows = rows.withColumns({"reason": reason, "course_id": F.when(reason.isNull(), courses.course(F.col("event"), F.col("distance_m"), aliases, sponsors))})
     key = [F.col("course_id"), F.col("date"), F.regexp_replace(F.lower("event"), "[^a-z0-9]+", ""), F.when(F.col("reason").isNotNull(), F.col("href"))]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("href").endswith(".php").desc(), F.length("href"), F.desc("href")))
     # Rows with a reason meet no others: each address is a key of its own.

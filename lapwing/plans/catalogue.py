@@ -10,8 +10,9 @@ from lapwing.plans.registry import query
 from lapwing.sources.results import results, table
 
 # Index rows made of parts: events, addresses and printed days of every form.
-_EVENTS = ["Harbour {n} km", "3rd Annual {n}k Road Race", "Half Marathon", "Cape to Cabot {n}K", "Kids Walk {n} km", "Bay 1km & 3km", "Open {n} mile", "Marathon Results", "City Relay {n} km", "Plain name"]
-_ALIASES = (("cape to cabot", "cape-to-cabot"),)
+_EVENTS = ["Harbour {n} km", "3rd Annual {n}k Road Race", "Half Marathon", "Cape to Harbour {n}K", "Kids Walk {n} km", "Bay 1km & 3km", "Open {n} mile", "Marathon Results", "City Relay {n} km", "Acme Plain name"]
+_SPONSORS = ("acme",)
+_ALIASES = (("cape to harbour", "cape-to-harbour"),)
 _EVENT_SQL = "[" + ", ".join("'" + e.replace("&", "&").replace("{n}", "' || n || '") + "'" for e in _EVENTS) + "][p_partkey % 10 + 1]"
 _ROWS = f""" base AS (SELECT p_partkey, (p_size % 12 + 1)::VARCHAR AS n, p_partkey % 3 AS k FROM part
 ), rows AS (SELECT p_partkey, {_EVENT_SQL} AS event, 'results/' || CASE WHEN k = 0 THEN '2014' || lpad((p_partkey % 14)::VARCHAR, 2, '0') || lpad((p_partkey % 30)::VARCHAR, 2, '0') || '_' || p_partkey % 50 ELSE 'race' || p_partkey % 200 END || ['.php', '.htm', '.pdf', '.php'][p_partkey % 4 + 1] AS href,
@@ -42,31 +43,31 @@ _CATALOGUE = _ROWS + "," + _METRES + r""", stems AS (SELECT *, regexp_replace(sp
     coalesce(try_strptime(regexp_extract(stem, '^(\d{8})', 1), '%Y%m%d')::DATE, try_strptime(printed || ' 2014', '%B %d %Y')::DATE, try_strptime(printed || ' 2014', '%b %d %Y')::DATE) AS date FROM stems
 ), reasoned AS (SELECT *, CASE WHEN word <> '' THEN 'not an individual road result (' || word || ')' WHEN lower(href) LIKE '%.pdf' THEN 'a PDF' WHEN date IS NULL THEN 'no date' WHEN metres IS NULL THEN 'no single distance' END AS why,
     regexp_replace(lower(event), '\d+(\.\d+)?\s*(km|k|mi|mile|miles)\b', ' ', 'g') AS base FROM dated
-), named AS (SELECT *, CASE WHEN why IS NULL THEN coalesce(CASE WHEN contains(lower(event), 'cape to cabot') THEN 'cape-to-cabot' END,
-    nullif(trim(regexp_replace(regexp_replace(regexp_replace(base, '\b(half[- ]marathon|marathon)\b', ' ', 'g'), '\b(\d+(st|nd|rd|th)|annual|road\s+race|race|results?|individual|open|championships?)\b', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''),
+), named AS (SELECT *, CASE WHEN why IS NULL THEN coalesce(CASE WHEN contains(lower(event), 'cape to harbour') THEN 'cape-to-harbour' END,
+    nullif(trim(regexp_replace(regexp_replace(regexp_replace(base, '\b(half[- ]marathon|marathon)\b', ' ', 'g'), '\b(\d+(st|nd|rd|th)|annual|road\s+race|race|results?|individual|open|championships?|acme)\b', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''),
     nullif(trim(regexp_replace(base, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') || '-' || round_even(metres, 0)::BIGINT END AS course_id FROM reasoned
 ), turned AS (SELECT *, row_number() OVER (PARTITION BY course_id, date, regexp_replace(lower(event), '[^a-z0-9]+', '', 'g'), CASE WHEN why IS NOT NULL THEN href END ORDER BY (href LIKE '%.php') DESC, length(href), href DESC) AS turn FROM named)"""
 
 
 @query(_CATALOGUE + " SELECT coalesce(why, CASE WHEN turn > 1 THEN 'a duplicate' END, 'read') AS reason, count(*) AS rows, count(DISTINCT race_id) AS ids, count(DISTINCT course_id) AS courses, min(date) AS first, max(date) AS last FROM turned GROUP BY 1", with_results=False)
 def catalogue_reasons(spark, sf_dir):
-    found = catalogue.catalogue(_rows(spark, sf_dir), _ALIASES).withColumn("reason", F.coalesce("reason", F.lit("read")))
+    found = catalogue.catalogue(_rows(spark, sf_dir), _ALIASES, _SPONSORS).withColumn("reason", F.coalesce("reason", F.lit("read")))
     return found.groupBy("reason").agg(F.count("*").alias("rows"), F.countDistinct("race_id").alias("ids"), F.countDistinct("course_id").alias("courses"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-@query(_CATALOGUE + " SELECT race_id, course_id, date, metres AS distance_m, CASE WHEN course_id = 'cape-to-cabot-5000' AND date <= DATE '2014-06-30' THEN 'old-cabot' ELSE course_id END AS road FROM turned WHERE why IS NULL AND turn = 1", with_results=False)
+@query(_CATALOGUE + " SELECT race_id, course_id, date, metres AS distance_m, CASE WHEN course_id = 'cape-to-harbour-5000' AND date <= DATE '2014-06-30' THEN 'old-harbour' ELSE course_id END AS road FROM turned WHERE why IS NULL AND turn = 1", with_results=False)
 def catalogue_races(spark, sf_dir):
-    races = catalogue.catalogue(_rows(spark, sf_dir), _ALIASES).where("reason is null").drop("reason", "href", "event")
-    roads = spark.sql("SELECT 'cape-to-cabot-5000' AS course, CAST(NULL AS DATE) AS first, DATE'2014-06-30' AS last, 'old-cabot' AS road")
+    races = catalogue.catalogue(_rows(spark, sf_dir), _ALIASES, _SPONSORS).where("reason is null").drop("reason", "href", "event")
+    roads = spark.sql("SELECT 'cape-to-harbour-5000' AS course, CAST(NULL AS DATE) AS first, DATE'2014-06-30' AS last, 'old-harbour' AS road")
     return catalogue.reroute(races.withColumn("was", F.col("course_id")), roads).select("race_id", F.col("was").alias("course_id"), "date", "distance_m", F.col("course_id").alias("road"))
 
 
-@query(r""" c AS (SELECT p_partkey, ['cape-to-cabot', 'usr', 'run-by-the-sea', 'of-the-nlaa'][p_partkey % 4 + 1] || '-' || [5000, 10000, 16093, 21097, 42195, 1609][p_partkey % 6 + 1] AS course_id FROM part),
-n AS (SELECT *, ['Cape to Cabot', 'USR', 'Run by the Sea', 'Of the NLAA'][p_partkey % 4 + 1] || ' ' || ['5 km', '10 km', '10 mile', 'half marathon', 'marathon', 'mile'][p_partkey % 6 + 1] AS name FROM c) SELECT p_partkey, course_id, name FROM n""", with_results=False)
+@query(r""" c AS (SELECT p_partkey, ['cape-to-harbour', 'hrc', 'run-by-the-sea', 'of-the-hrc'][p_partkey % 4 + 1] || '-' || [5000, 10000, 16093, 21097, 42195, 1609][p_partkey % 6 + 1] AS course_id FROM part),
+n AS (SELECT *, ['Cape to Harbour', 'HRC', 'Run by the Sea', 'Of the HRC'][p_partkey % 4 + 1] || ' ' || ['5 km', '10 km', '10 mile', 'half marathon', 'marathon', 'mile'][p_partkey % 6 + 1] AS name FROM c) SELECT p_partkey, course_id, name FROM n""", with_results=False)
 def course_names(spark, sf_dir):
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % by + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(["cape-to-cabot", "usr", "run-by-the-sea", "of-the-nlaa"], 4), F.lit("-"), pick([5000, 10000, 16093, 21097, 42195, 1609], 6).cast("string")).alias("course_id"))
-    return rows.withColumn("name", courses.course_name(F.col("course_id")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(["cape-to-harbour", "hrc", "run-by-the-sea", "of-the-hrc"], 4), F.lit("-"), pick([5000, 10000, 16093, 21097, 42195, 1609], 6).cast("string")).alias("course_id"))
+    return rows.withColumn("name", courses.course_name(F.col("course_id"), ("hrc",)))
 
 
 @query(""" b AS (SELECT race_id, make_date(year(race_date)::INT, ((month(race_date) - 1) // 3 * 3 + 1)::INT, 1) AS quarter, make_date(year(race_date)::INT, ((month(race_date) - 1) // 6 * 6 + 1)::INT, 1) AS half FROM results)
