@@ -124,11 +124,6 @@ class WordEncoder:
         if kept:
             self._add(kept, ids, lengths)
 
-    def rest(self) -> None:
-        """What a worker does between tasks: it keeps the words that recurred."""
-        self._renew()
-        self.again[:] = False
-
     def _learn(self, new: list[str]) -> None:
         """Adds words. Marks after what ``_ends_a_word`` are pieces of their own for the tokenizer, so only what is before them is encoded, once for either case."""
         known, joined = self.known, " ".join(new)
@@ -250,7 +245,6 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             held += len(ids)
     if held:
         yield closed()
-    encoder.rest()
 
 
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
