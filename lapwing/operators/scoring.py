@@ -21,12 +21,16 @@ DRAWS = 2000
 CUTS = np.array([int(exp(-1) * sum(1 / factorial(i) for i in range(k + 1)) * 2**53) << 11 for k in range(17)], np.uint64)
 
 
-def scored(results: DataFrame) -> DataFrame:
-    """Finishes with ``carry`` (the latest finish, carried over), ``median`` (of the category) and ``stratum``."""
+def carried(results: DataFrame) -> DataFrame:
+    """Finishes with ``carry`` (the latest finish, carried over) and ``stratum``."""
     rows = with_history(results).where("seconds is not null")
     rows = rows.withColumn("carry", riegel(F.col("latest.seconds"), F.col("latest.distance_m"), F.col("distance_m")))
-    medians = category_medians(results).select("entry_id", F.col("predicted").alias("median"))
-    return rows.join(medians, "entry_id").withColumn("stratum", depth_stratum(F.col("depth"))).drop("latest")
+    return rows.withColumn("stratum", depth_stratum(F.col("depth"))).drop("latest")
+
+
+def scored(results: DataFrame) -> DataFrame:
+    """Finishes with ``carry``, ``stratum`` and ``median`` (of the category)."""
+    return carried(results).join(category_medians(results).select("entry_id", F.col("predicted").alias("median")), "entry_id")
 
 
 def summary(rows: DataFrame, predicted: str, by: str) -> DataFrame:
@@ -166,15 +170,17 @@ def intervals(rows: DataFrame, width: float = 0.1) -> DataFrame:
 def rolling_thresholds(own: DataFrame, level: float = LEVEL, least: int = CALIBRATION, buckets: int = 512) -> DataFrame:
     """``stratum, race_date, pool, threshold``: for each date the ceil((n + 1) level)-th smallest score of strictly earlier dates; null under ``least`` scores, infinite beyond them.
 
-    Scores are counted by date and bucket (of ``buckets`` between a stratum's
+    Scores are counted by date and bucket (of ``buckets`` or more between a stratum's
     limits), and the counts summed up over earlier dates and then over buckets,
     which gives the bucket that holds each date's order statistic. Only the scores
-    of that bucket are joined with the date, so dates never meet whole pools.
+    of that bucket are joined with the date, so dates never meet whole pools. Buckets grow in number with
+    the root of a stratum's scores, as do those that a bucket holds. Tables of a row a stratum, or a stratum and date, are
+    broadcast, so that no task gets a whole stratum.
     """
     own = own.select("stratum", "race_date", "score")
-    limits = own.groupBy("stratum").agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    step = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    scores = own.join(limits, "stratum").select("stratum", "race_date", step.alias("bucket"), "score").groupBy("stratum", "race_date", "bucket", "score").agg(F.count("*").alias("c"))
+    limits = own.groupBy("stratum").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.greatest(F.lit(buckets), F.ceil(4 * F.sqrt(F.count("*")))).alias("buckets"))
+    step = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("buckets")), F.col("buckets") - 1)).otherwise(0).cast("int")
+    scores = own.join(F.broadcast(limits), "stratum").select("stratum", "race_date", step.alias("bucket"), "score").groupBy("stratum", "race_date", "bucket", "score").agg(F.count("*").alias("c"))
     counts = scores.groupBy("stratum", "race_date", "bucket").agg(F.sum("c").alias("c"))
     dates, places = counts.select("stratum", "race_date").distinct(), counts.select("stratum", "bucket").distinct()
     grid = dates.join(places, "stratum").join(counts, ["stratum", "race_date", "bucket"], "left")
@@ -183,7 +189,8 @@ def rolling_thresholds(own: DataFrame, level: float = LEVEL, least: int = CALIBR
     grid = grid.select("stratum", "race_date", "bucket", earlier.alias("e")).withColumns({"upto": F.sum("e").over(key.orderBy("bucket")), "pool": F.sum("e").over(key)})
     wanted = F.ceil((F.col("pool") + 1) * F.lit(level))
     pools = grid.groupBy("stratum", "race_date").agg(F.max("pool").alias("pool"), F.min(F.when((F.col("upto") >= wanted) & (F.col("pool") >= least), F.struct("bucket", (wanted - F.col("upto") + F.col("e")).alias("inside")))).alias("at"))
-    inside = pools.where("at is not null").select("stratum", F.col("race_date").alias("date"), "at.bucket", "at.inside").join(scores, ["stratum", "bucket"]).where("race_date < date")
+    asked = pools.where("at is not null").select("stratum", F.col("race_date").alias("date"), "at.bucket", "at.inside")
+    inside = scores.join(F.broadcast(asked), ["stratum", "bucket"]).where("race_date < date")
     inside = inside.groupBy("stratum", "date", "inside", "score").agg(F.sum("c").alias("c"))
     inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("stratum", "date").orderBy("score"))).where("upto >= inside")
     found = inside.groupBy("stratum", F.col("date").alias("race_date")).agg(F.min("score").alias("score"))
@@ -193,6 +200,6 @@ def rolling_thresholds(own: DataFrame, level: float = LEVEL, least: int = CALIBR
 
 def coverage(own: DataFrame) -> DataFrame:
     """Share of results inside raw and adjusted intervals, on rows that could be adjusted."""
-    rows = own.join(rolling_thresholds(own), ["stratum", "race_date"]).where("threshold is not null")
+    rows = own.join(F.broadcast(rolling_thresholds(own)), ["stratum", "race_date"]).where("threshold is not null")
     inside = lambda a, b: F.avg(F.col("seconds").between(a, b).cast("double"))
     return rows.groupBy("stratum").agg(F.count("*").alias("runners"), F.round(inside(F.col("low"), F.col("high")), 6).alias("raw"), F.round(inside(F.col("low") * F.exp(-F.col("threshold")), F.col("high") * F.exp("threshold")), 6).alias("adjusted"))

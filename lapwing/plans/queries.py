@@ -269,14 +269,14 @@ _ROLLING = """, own AS (SELECT *, greatest(ln(carry * 0.9::DOUBLE) - ln(seconds)
 
 @query(_LATEST + _ROLLING + " SELECT stratum, race_date, pool, round(threshold, 6) AS threshold FROM thresholds")
 def rolling_conformal(spark, sf_dir):
-    rows = scoring.rolling_thresholds(scoring.intervals(_scored(spark, sf_dir)))
+    rows = scoring.rolling_thresholds(scoring.intervals(scoring.carried(results(spark, sf_dir))))
     return rows.withColumn("threshold", F.round("threshold", 6))
 
 
 @query(_LATEST + _ROLLING + """ SELECT stratum, count(*) AS runners, round(avg((seconds BETWEEN carry * 0.9::DOUBLE AND carry * 1.1::DOUBLE)::INT), 6) AS raw,
   round(avg((seconds BETWEEN carry * 0.9::DOUBLE * exp(-threshold) AND carry * 1.1::DOUBLE * exp(threshold))::INT), 6) AS adjusted FROM own JOIN thresholds USING (stratum, race_date) WHERE threshold IS NOT NULL GROUP BY stratum""")
 def coverage_by_stratum(spark, sf_dir):
-    return scoring.coverage(scoring.intervals(_scored(spark, sf_dir)))
+    return scoring.coverage(scoring.intervals(scoring.carried(results(spark, sf_dir))))
 
 
 def _people(spark, sf_dir):

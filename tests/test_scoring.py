@@ -28,3 +28,21 @@ def test_bootstrap_of_2000_draws(spark):
         assert np.allclose([r.low, r.high], np.percentile(means, [2.5, 97.5]), atol=2e-6)
     every = scoring.drawn_counts(np.arange(500), 2000)
     assert abs(every.mean() - 1) < 0.01 and abs(every.var() - 1) < 0.01
+
+
+def test_thresholds_of_many_scores_need_no_whole_stratum(spark):
+    rows = spark.range(24_000).select(F.lit("a").alias("stratum"), (F.col("id") % 7).alias("race_date"), (F.col("id") * 7919 % 24_001 / 24_001.0).alias("score")).repartition(3)
+    found = scoring.rolling_thresholds(rows)
+    scores = {d: [k * 7919 % 24_001 / 24_001.0 for k in range(24_000) if k % 7 < d] for d in range(7)}
+    for r in found.collect():
+        own = sorted(scores[r.race_date])
+        assert (r.pool, r.threshold) == (len(own), own[int(np.ceil((len(own) + 1) * 0.8)) - 1] if own else None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
+
+
+def test_rolling_conformal_computes_no_medians(spark):
+    from lapwing.plans import queries as plans
+
+    plan = plans.QUERIES["rolling_conformal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
