@@ -54,15 +54,27 @@ class Forest:
         return range(k, k + len(self.quantiles))
 
 
-def descend(split: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-    """The node at ``depth`` of each row in one tree, counted from the left."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    for level in range(depth):
-        own = split[(1 << level) - 1 + node]
-        value = bins[rows, np.maximum(own[:, 0], 0)]
-        right = np.where(value == 0, own[:, 2] == 0, value > own[:, 1]) & (own[:, 0] >= 0)
-        node = 2 * node + right
-    return node
+def descend(split: np.ndarray, bins: np.ndarray, depth: int, at: int = 0) -> np.ndarray:
+    """The node, ``depth`` levels below split ``at``, of each row in one tree, counted from the left.
+
+    Each split looks at one column of ``bins``, which is quick if columns lie together (Fortran's order).
+    """
+    if not depth:
+        return np.zeros(len(bins), np.uint8)
+    left = descend(split, bins, depth - 1, 2 * at + 1) if depth > 1 else None
+    column, cut, null_left = split[at]
+    if column < 0:
+        return np.zeros(len(bins), np.uint8) if left is None else left
+    value = bins[:, column]
+    beyond = value > cut
+    if not null_left:
+        beyond |= value == 0
+    right = beyond.view(np.uint8)
+    if depth == 1:
+        return right
+    # Products instead of a choice, which would be guessed wrong for half of the rows.
+    ahead = descend(split, bins, depth - 1, 2 * at + 2) + np.array(1 << (depth - 1), np.uint8 if depth <= 8 else np.int64)
+    return left + right * (ahead - left)
 
 
 def predictions(forest: Forest, model: int, bins: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -73,10 +85,21 @@ def predictions(forest: Forest, model: int, bins: np.ndarray, base: np.ndarray)
     return out
 
 
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a column whose values all have ``width`` of them, null being zeros; without a copy if none is null."""
+    if column.null_count == len(column):
+        return np.zeros(width * len(column), np.uint8)
+    if column.null_count or column.type != pa.binary():
+        return np.frombuffer(b"".join(x or bytes(width) for x in column.to_pylist()), np.uint8)
+    _, offsets, values = column.buffers()
+    start = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(values, np.uint8)[start : start + width * len(column)]
+
+
 def _arrays(batch: pa.RecordBatch, inputs: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     block, y = batch.column("block").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False)
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, inputs)
-    base = np.frombuffer(b"".join(x or bytes(8 * models) for x in batch.column("base").to_pylist()), float).reshape(-1, models)
+    bins = _fixed(batch.column("bins"), inputs).reshape(-1, inputs)
+    base = _fixed(batch.column("base"), 8 * models).view(float).reshape(-1, models)
     return block, y, bins, base
 
 
@@ -90,24 +113,29 @@ def _counts(batches: Iterator[pa.RecordBatch], forest: Forest, inputs: int, spli
         if not batch.num_rows:
             continue
         block, y, bins, base = _arrays(batch, inputs, forest.models)
-        known = ~np.isnan(y)
+        # In order of blocks, so that the rows before a block are the first ones.
+        order = np.argsort(block, kind="stable")
+        order = order[~np.isnan(y[order])]
+        block, y, bins, base = block[order], y[order], np.asfortranarray(bins[order]), np.take(base.T, order, axis=1)
+        columns = None if leaves else np.ascontiguousarray(bins.T) + np.arange(inputs)[:, None] * BINS
         for b in forest.blocks:
-            use = known & (block < b)
-            if not use.any():
+            until = int(np.searchsorted(block, b, "left"))
+            if not until:
                 continue
-            own, target = bins[use], y[use]
-            columns = np.arange(inputs) * BINS + own
+            own = bins[:until]
             for m in forest.of(b):
-                residual = target - predictions(forest, m, own, base[use, m])
-                node = descend(split[m], own, level)
-                start, lo, hi = (m * nodes + node) * width, m * nodes * width, (m + 1) * nodes * width
+                residual = y[:until] - predictions(forest, m, own, base[m, :until])
+                node = descend(split[m], own, level).astype(np.int64)
+                lo, hi = m * nodes * width, (m + 1) * nodes * width
                 if leaves:
                     cell = np.clip(np.floor((residual + SPAN) * (CELLS / (2 * SPAN))), 0, CELLS - 1).astype(np.int64)
-                    rows[lo:hi] += np.bincount(start + cell - lo, minlength=hi - lo)
+                    rows[lo:hi] += np.bincount(node * width + cell, minlength=hi - lo)
                     continue
-                key = start[:, None] + columns
-                rows[lo:hi] += np.bincount(key.ravel() - lo, minlength=hi - lo)
-                below[lo:hi] += np.bincount(key[residual < 0].ravel() - lo, minlength=hi - lo)
+                # Rows above and below the prediction are counted at once, as nodes of their own.
+                state = (2 * node + (residual < 0)) * width
+                found = np.bincount((columns[:, :until] + state).ravel(), minlength=2 * (hi - lo)).reshape(nodes, 2, width)
+                rows[lo:hi] += found.sum(axis=1).ravel()
+                below[lo:hi] += found[:, 1].ravel()
     at = np.flatnonzero(rows)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows[at]), pa.array(below[at])], names=["key", "n", "below"])
 
@@ -170,6 +198,7 @@ def _leaf_values(sums: DataFrame, forest: Forest, leaves: int) -> np.ndarray:
 def _applied(batches: Iterator[pa.RecordBatch], forest: Forest, inputs: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *_, bins, base = _arrays(batch, inputs, forest.models)
+        bins = np.asfortranarray(bins)
         now = np.stack([predictions(forest, m, bins, base[:, m]) for m in range(forest.models)], axis=1)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "block", "y", "bins")), pa.array([r.tobytes() for r in now], pa.binary())], names=["id", "block", "y", "bins", "base"])
 
@@ -205,7 +234,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], forest: Forest, inputs: int) -
         for b in forest.blocks:
             own = block == b
             for k, m in enumerate(forest.of(b)):
-                out[own, k] = predictions(forest, m, bins[own], base[own, m])
+                out[own, k] = predictions(forest, m, np.asfortranarray(bins[own]), base[own, m])
         out.sort(axis=1)
         columns = [pa.array(out[:, k], mask=np.isnan(out[:, k])) for k in range(out.shape[1])]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *(f"q{k}" for k in range(len(columns)))])

@@ -107,3 +107,14 @@ def test_query_is_better_than_chance(spark):
     assert (np.diff(asked[q].to_numpy(), axis=1) >= 0).all() and len(asked) > 10_000
     inside = ((asked.q10 <= asked.seconds) & (asked.seconds <= asked.q90)).mean()
     assert 0.75 < inside < 0.85
+
+
+def test_packed_columns_are_read_without_a_copy():
+    import pyarrow as pa
+
+    whole = pa.array([bytes([k, k + 1, 7]) for k in range(5)], pa.binary())
+    for column in (whole, whole.slice(2, 2)):
+        got = boosting._fixed(column, 3)
+        assert got.reshape(-1, 3).tolist() == [list(x) for x in column.to_pylist()] and np.shares_memory(got, np.frombuffer(column.buffers()[2], np.uint8))
+    assert boosting._fixed(pa.array([None, b"abc"], pa.binary()), 3).tolist() == [0, 0, 0, *b"abc"]
+    assert boosting._fixed(pa.nulls(2, pa.binary()), 3).tolist() == [0] * 6
