@@ -24,6 +24,8 @@ from lapwing.sources.shared import drop, save
 DRAWS, LOW, HIGH = 400, 0.025, 0.975
 #: Finishes of a course that is compared with others; numbers of courses by draws that a pass sends to its tasks at most.
 LEAST, LIMIT = 100, 4_000_000
+#: Courses of a slice of runners up to which its sums are products of dense matrices.
+DENSE = 64
 
 _CUTS = np.cumsum([exp(-1) / factorial(k) for k in range(17)])
 
@@ -45,16 +47,31 @@ def _round(batches: Iterator[pa.RecordBatch], effects: np.ndarray, draws: np.nda
             if not len(cells):
                 continue
             g, n, sx, sxx, sy, sxy = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(6))
-            sizes = np.array([len(c) for c in batch.column("cells").to_pylist()])
+            sizes = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)
             starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
             add = lambda x, starts=starts: np.add.reduceat(x, starts, axis=0)
-            own = effects[g]
             k, x, xx = add(n)[:, None], add(sx)[:, None], add(sxx)[:, None]
-            r, xr = add(sy[:, None] - n[:, None] * own), add(sxy[:, None] - sx[:, None] * own)
+            seen, column = np.unique(g, return_inverse=True)
+            dense = len(seen) <= DENSE
+            if dense:
+                # Few courses: sums over a runner's courses, and over runners, are products of matrices.
+                table = np.zeros((3, len(sizes), len(seen)))
+                for out, value in zip(table, (n, sx, sy), strict=True):
+                    out[owner, column] = value
+                r, xr = add(sy)[:, None] - table[0] @ effects[seen], add(sxy)[:, None] - table[1] @ effects[seen]
+            else:
+                own = effects[g]
+                r, xr = add(sy[:, None] - n[:, None] * own), add(sxy[:, None] - sx[:, None] * own)
             spread = k * xx - x * x
-            slope = np.where(spread > 1e-9, np.clip((k * xr - x * r) / np.where(spread > 1e-9, spread, 1), -MAX_TREND, MAX_TREND), 0.0)
+            slope = np.clip((k * xr - x * r) * np.where(spread > 1e-9, 1 / np.where(spread > 1e-9, spread, 1), 0.0), -MAX_TREND, MAX_TREND)
             level = (r - slope * x) / k
-            times = times_drawn(batch.column("runner_id").to_numpy(zero_copy_only=False), draws)[owner]
+            times = times_drawn(batch.column("runner_id").to_numpy(zero_copy_only=False), draws)
+            if dense:
+                counted = times.astype(float)
+                top[seen] += table[2].T @ counted - table[0].T @ (counted * level) - table[1].T @ (counted * slope)
+                bottom[seen] += table[0].T @ counted
+                continue
+            times = times[owner]
             order = np.argsort(g, kind="stable")
             cuts = np.flatnonzero(np.diff(g[order], prepend=-1))
             for out, value in ((top, sy[:, None] - n[:, None] * level[owner] - slope[owner] * sx[:, None]), (bottom, n[:, None])):

@@ -83,3 +83,20 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     drawn = courses.course_draws(none, "course", draws=2, rounds=2)
     assert drawn.count() == 0 and courses.course_intervals(drawn, none.select("course", F.col("distance_m")), "course").count() == 0
+
+
+def test_products_of_matrices_equal_sums_by_cell(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    cells = []
+    for _ in range(40):
+        own = sorted(rng.choice(5, int(rng.integers(1, 5)), replace=False).tolist())
+        cells.append([{"g": g, "n": 2.0, "sx": float(rng.integers(6)), "sxx": 20.0 + g, "sy": float(rng.normal()), "sxy": float(rng.normal())} for g in own])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(cells)], names=["runner_id", "cells"])
+    effects, found = rng.normal(0, 0.05, (5, 6)), []
+    for dense in (courses.DENSE, 0):
+        monkeypatch.setattr(courses, "DENSE", dense)
+        found.append([c.to_numpy() for c in next(courses._round(iter([batch]), effects, np.arange(6))).columns])
+    for one, other in zip(*found, strict=True):
+        assert one == pytest.approx(other, abs=1e-12)
