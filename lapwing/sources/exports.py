@@ -45,33 +45,40 @@ def json_results(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "d.place", F.trim("d.name").alias("name"), sex(F.col("d.gender")).alias("sex"), "d.seconds")
 
 
-def _named(rows: DataFrame, heads: Column, cells: Column) -> DataFrame:
-    """``row`` as a map of known columns, or ``reason`` with those that aren't."""
+def _headed(files: DataFrame, heads: Column) -> DataFrame:
+    """Adds, once a file: ``width``, ``names`` of its columns (null: unknown) and ``reason`` with those that are unknown."""
     known = F.create_map(*[F.lit(x) for kv in (COLUMNS | {c: f"-{c}" for c in PASSED_OVER}).items() for x in kv])
     clean = F.transform(heads, lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", " ")))
-    unknown = F.filter(clean, lambda h: F.try_element_at(known, h).isNull())
-    names = F.transform(clean, lambda h: F.try_element_at(known, h))
-    pairs = F.map_from_entries(F.filter(F.arrays_zip(names.alias("k"), cells.alias("v")), lambda e: e["k"].isNotNull()))
-    return rows.withColumn("reason", F.when(F.size(unknown) > 0, F.concat(F.lit("unknown columns: "), F.array_join(unknown, ", ")))).withColumn("row", F.when(F.col("reason").isNull(), pairs))
+    rows = files.withColumn("clean", clean).withColumn("names", F.transform("clean", lambda h: F.try_element_at(known, h)))
+    unknown = F.array_join(F.filter("clean", lambda h: F.try_element_at(known, h).isNull()), ", ")
+    rows = rows.withColumns({"width": F.size("clean"), "reason": F.when(F.exists("names", lambda n: n.isNull()), F.concat(F.lit("unknown columns: "), unknown))})
+    return rows.drop("clean")
+
+
+def _named(rows: DataFrame, cells: Column) -> DataFrame:
+    """``row`` as a map of known columns, null where there is a reason."""
+    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.col("width"))), 1, F.col("width"))
+    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), padded.alias("v")), lambda e: e["k"].isNotNull()))
+    return rows.withColumn("row", F.when(F.col("reason").isNull(), pairs)).select("page_id", "number", "row", "reason")
 
 
 def html_rows(pages: DataFrame) -> DataFrame:
     """``page_id, number, row, reason`` of each line of a page's table (page_id, body) under its first row, which names the columns."""
     lines = F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
-    rows = pages.withColumn("lines", lines).select("page_id", cells(F.get("lines", 0)).alias("heads"), F.posexplode("lines").alias("number", "line")).where("number > 0")
-    rows = rows.withColumn("cells", F.slice(F.concat(cells(F.col("line")), F.array_repeat(F.lit(""), F.size("heads"))), 1, F.size("heads")))
-    return _named(rows, F.col("heads"), F.col("cells")).select("page_id", "number", "row", "reason")
+    # The head is read before lines become rows; beside the explode it would be read again for each of them.
+    rows = _headed(pages.withColumn("lines", lines), cells(F.get("lines", 0)))
+    rows = rows.select("page_id", "names", "width", "reason", F.posexplode("lines").alias("number", "line")).where("number > 0")
+    return _named(rows, cells(F.col("line")))
 
 
 def delimited_rows(files: DataFrame) -> DataFrame:
     """``page_id, number, row, reason`` of each line of a file (page_id, body) under its first. Fields are parted by what the first line has most of: tabs, semicolons or commas; none holds its separator."""
     head = F.get(F.split("body", r"\r?\n"), 0)
     counts = [F.struct(F.length(head) - F.length(F.replace(head, F.lit(s))), F.lit(s).alias("s")) for s in ("\t", ";", ",")]
-    rows = files.withColumn("sep", F.greatest(*counts)["s"])
-    rows = rows.select("page_id", "sep", F.split(head, F.col("sep")).alias("heads"), F.posexplode(F.split("body", r"\r?\n")).alias("number", "line")).where("number > 0 and trim(line) <> ''")
-    cells = F.slice(F.concat(F.split("line", F.col("sep")), F.array_repeat(F.lit(""), F.size("heads"))), 1, F.size("heads"))
-    return _named(rows, F.col("heads"), cells).select("page_id", "number", "row", "reason")
+    rows = _headed(files.withColumn("sep", F.greatest(*counts)["s"]), F.split(head, F.col("sep")))
+    rows = rows.select("page_id", "sep", "names", "width", "reason", F.posexplode(F.split("body", r"\r?\n")).alias("number", "line")).where("number > 0 and trim(line) <> ''")
+    return _named(rows, F.split("line", F.col("sep")))
 
 
 def headed_lists(pages: DataFrame) -> DataFrame:

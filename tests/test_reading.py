@@ -84,3 +84,11 @@ def test_two_way_finds_a_planted_effect(spark):
     assert abs(got["hilly"].effect - got["flat"].effect - 0.06) < 1e-3
     assert got["flat"].finishes == 80
     assert people.two_way(spark.createDataFrame([], "runner_id long, course string, year int, y double"), "course").count() == 0
+
+
+def test_heads_are_not_read_again_for_each_line(spark):
+    from lapwing.sources import exports
+
+    rows = exports.html_rows(spark.createDataFrame([(1, "x")], "page_id long, body string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Generate")[0].count("<t[hd]") == 1
