@@ -183,3 +183,35 @@ def test_query_covers_the_last_year(spark):
     got = QUERIES["hierarchical_predictions"](spark, sf).join(results(spark, sf).select("entry_id", "seconds"), "entry_id").where(F.col("seconds").isNotNull()).toPandas()
     inside = ((got.q10 <= got.seconds) & (got.seconds <= got.q90)).mean()
     assert len(got) > 500 and 0.72 < inside < 0.9 and (got.q10 < got.q50).all() and (got.q50 < got.q90).all()
+
+
+def test_runners_too_wide_for_blocks_count_the_same(spark, monkeypatch):
+    rows, *_ = planted(40, 16)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    wanted = {r[0]: sorted({(q[4], q[1]) for q in rows if q[0] == r[0]}) for r in rows}
+    found = []
+    for block, wide, sent in ((1 << 16, 1 << 16, 32 << 20), (8, 5, 0)):
+        for name, value in (("BLOCK", block), ("WIDE", wide), ("SENT", sent)):
+            monkeypatch.setattr(hierarchy, name, value)
+        got = hierarchy.fit(table, rounds=2)
+        assert {r.runner_id: sorted(map(tuple, r.a)) for r in got.levels.groupBy("runner_id").agg(F.collect_list(F.struct("year", "grp")).alias("a")).collect()} == wanted
+        found.append((got.scales.noise, got.scales.walk, {(r.runner_id, r.year): pytest.approx((r.level, r.fade, r.var_level, r.cov, r.var_fade), rel=1e-8, abs=1e-12) for r in got.levels.where("last").collect()}))
+    assert found[0][:2] == pytest.approx(found[1][:2], rel=1e-8) and len(found[0][2]) == len(wanted)
+    assert {k: tuple(v.expected) for k, v in found[1][2].items()} == found[0][2]
+
+
+def test_a_round_shuffles_no_finishes(spark):
+    rows, *_ = planted(300, 16)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(rounds):
+        before = {store_stage.stageId() for store_stage in stages()}
+        hierarchy.fit(table, rounds=rounds)
+        return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return [found.apply(k) for k in range(found.size())]
+
+    assert (shuffled(3) - shuffled(1)) / 2 < len(rows)
