@@ -30,3 +30,21 @@ def test_calendar(spark):
     ]
     assert [r.name for r in calendars.unread(events).collect()] == ["Something new", "Pond Meet"]
     assert calendars.calendar(pages.limit(0), ALIASES).count() == 0
+
+
+def test_pages_are_read_once_and_odd_days(spark, capsys):
+    row = lambda badge, rest: f'<tr><td><span class="badge">{badge}</span>{rest}</td></tr>'
+    html = "<th>Calendar 2023</th>" + row("Feb 29", "Pond A") + row("x, JUNE\t07 - May 31", "<a href=''></a>") + row("May 0", "Pond\u00a0 B<br>\tC &amp;lt;") + row("Sept 5-Sep 5-<i>Mar 10</i>", "<a name='n'>Pond D</a>,") + row("Marc 1", ", Pond  E ,")
+    early = "<th>Calendar 0999</th>" + row("May 1", "Pond")
+    pages = spark.createDataFrame([("a", html), ("b", "<th>Calendar 2023</th>"), ("c", early)], "page_id string, html string")
+    events = calendars.calendar(pages, ALIASES)
+    got = [(r.page_id, r.line, r.date, r.end, r.name, r.url, r.problem) for r in events.orderBy("page_id", "line").collect()]
+    assert got == [
+        ("a", 0, None, None, "Pond A", None, "no date"),
+        ("a", 2, None, None, "Pond\u00a0 B C &lt;", None, "no date"),
+        ("a", 3, date(2023, 9, 5), date(2023, 3, 10), "Pond D", None, None),
+        ("a", 4, None, None, "Pond  E".replace("  ", " "), None, "no date"),
+        ("c", 0, None, None, "Pond", None, "no date"),
+    ]
+    events.explain()
+    assert capsys.readouterr().out.count("Scan ") == 1
