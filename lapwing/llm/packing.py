@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lapwing.llm.storage import new_path
 from lapwing.llm.words import slices
 
-#: Ids of a block; ids after which a segment is closed; words that a task remembers; characters encoded at once.
-BLOCK, SEGMENT, REMEMBERED, AT_ONCE = 4096, 1 << 20, 500_000, 1 << 20
+#: Ids of a block; ids after which a segment is closed; words that a task remembers; characters of a text and of several short ones encoded at once; words of letters that are one text for the tokenizer.
+BLOCK, SEGMENT, REMEMBERED, AT_ONCE, TOGETHER, JOINED = 4096, 1 << 20, 500_000, 1 << 20, 1 << 13, 1024
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII marks, without the apostrophe, which may belong to what follows it.
@@ -150,8 +150,10 @@ class WordEncoder:
                 marked.append((w, stem, marks))
             elif stem != w:
                 plain.append((w, stem))
-        if letters and not self._encode_new(list(letters)):
-            rest |= letters
+        letters = list(letters)
+        for at in range(0, len(letters), JOINED):
+            if not self._encode_new(letters[at : at + JOINED]):
+                rest |= dict.fromkeys(letters[at : at + JOINED])
         if rest:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)]
             self._add(list(rest), np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found]))
@@ -198,11 +200,38 @@ class WordEncoder:
             piece = text[at:to]
             for other in "\t\n\r\f\v":
                 piece = piece.replace(other, " ")
-            out.append(self._encode(piece.split(" ")))
+            out.append(self._encode(piece.split(" "))[0])
             at = to
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
-    def _encode(self, words: list[str]) -> np.ndarray:
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; short ones are looked up together, as a call costs more than a few words."""
+        words: list[str] = []
+        counts: list[int] = []
+        held = 0
+        for text in texts:
+            if counts and held + len(text) > TOGETHER:
+                yield from self._each(words, counts)
+                words, counts, held = [], [], 0
+            if len(text) > TOGETHER:
+                yield self.encode(text)
+                continue
+            for other in "\t\n\r\f\v":
+                text = text.replace(other, " ")
+            own = text.split(" ")
+            words += own
+            counts.append(len(own))
+            held += len(text)
+        if counts:
+            yield from self._each(words, counts)
+
+    def _each(self, words: list[str], counts: list[int]) -> Iterator[np.ndarray]:
+        ids, lengths = self._encode(words)
+        ends = np.cumsum(lengths)[np.cumsum(counts) - 1].tolist()
+        return (ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and how many each has."""
         if len(self.known) > REMEMBERED:
             self._renew()
         k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -212,7 +241,7 @@ class WordEncoder:
             new = [words[i] for i in at.tolist()]
             self._learn(list(dict.fromkeys(new)))
             k[at] = [self.known[w] for w in new]
-        return self._ids_of(k)[0]
+        return self._ids_of(k)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -222,7 +251,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     encoder = _encoders[path]
-    bits = bits_for(encoder.size)
+    bits, end = bits_for(encoder.size), np.array([end_id], np.uint32)
     shard, segment, first = TaskContext.get().partitionId(), 0, 0
     docs: list[int | None] = []
     parts: list[np.ndarray] = []
@@ -235,8 +264,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         return pa.RecordBatch.from_pylist([row], pa.schema({"shard": pa.int32(), "segment": pa.int32(), "first": pa.int64(), "bits": pa.int32(), "n_ids": pa.int64(), "block_offsets": pa.list_(pa.int64()), "payload": pa.binary(), "doc_ids": pa.list_(pa.int64()), "doc_offsets": pa.list_(pa.int64())}))
 
     for rows in slices(batches, "text"):
-        for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            ids = np.append(encoder.encode(text or ""), np.uint32(end_id)).astype(np.uint32)
+        found = encoder.encode_all([text or "" for text in rows.column("text").to_pylist()])
+        for doc_id, own in zip(rows.column("doc_id").to_pylist(), found, strict=True):
+            ids = np.concatenate((own, end))
             if held and held + len(ids) > SEGMENT:
                 yield closed()
                 segment, first, docs, parts, held = segment + 1, first + held, [], [], 0

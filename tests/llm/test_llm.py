@@ -379,3 +379,15 @@ def test_a_full_table_of_words_keeps_what_recurs(monkeypatch):
     encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
     assert all(encoder.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
     assert "often" in encoder.known and len(encoder.known) < 600
+
+
+def test_texts_looked_up_together_have_the_ids_of_each(monkeypatch):
+    from lapwing.llm import packing
+
+    monkeypatch.setattr(packing, "TOGETHER", 40)
+    monkeypatch.setattr(packing, "JOINED", 3)
+    texts = ["", "Some words, here", " two  spaces\tand\x0btabs ", "", "x" * 30, "a longer text than is looked up together, with words", "e\u0301te\u0301 \u0130x 12,5 it's", "Some words, here", ""]
+    encoder = packing.WordEncoder(packing.vocabulary())
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode_all(texts)] == want == [x.tolist() for x in encoder.encode_all(texts)]
+    assert list(encoder.encode_all([])) == []
